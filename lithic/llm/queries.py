@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm import exact_dedup, packing
+from lithic.llm import decontam, exact_dedup, near_dedup, packing
 from lithic.llm.common import table
 
 
@@ -27,6 +27,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "contaminated", F.transform("matches", lambda m: m["item"]).alias("item_ids"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -42,7 +51,9 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, k = 1 AS kept,
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL = {
