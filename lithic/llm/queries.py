@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm import decontam, exact_dedup, near_dedup, packing, quality, token_counts, toxicity, url_filter
+from lithic.llm import ctw, decontam, exact_dedup, near_dedup, packing, quality, token_counts, toxicity, url_filter
 from lithic.llm.common import fold, table
 
 
@@ -27,6 +27,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select(F.col("id").alias("doc_id"), (fold(F.col("id")) % 5 == 0).alias("held_out"), "text_score", "host_mean", "path_mean", "score",
@@ -118,6 +122,7 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, k = 1 AS kept,
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_counts": op5_token_counts,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
