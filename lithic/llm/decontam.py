@@ -24,12 +24,13 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lithic.llm.common import OWN, text_or_empty
+from lithic.llm.common import text_or_empty
 from lithic.llm.words import NOT_ALPHANUMERIC, Words, by_bytes, mix, split_words
 
 _WALK, _GRAM, _KEY = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03))
@@ -246,8 +247,24 @@ def contamination(docs: DataFrame, items: DataFrame, params: Params = Params(),
     return out.select("id", "matches", (F.size("matches") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
-    """The documents in which no item is found, with all their columns."""
-    found = contamination(docs, items, params, id_col, text_col, **columns).where("contaminated")
-    gone = found.select(F.col("id").alias(OWN + "gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[OWN + "gone"]), "left_anti")
+def _cleaner(sent, params: Params):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        block = Block(*sent.value, params)
+        for column in batches:
+            out = np.ones(len(column), bool)
+            for at in range(0, len(column), 512):
+                words = split_words(pa.array(column[at:at + 512], pa.string()), breaks_at=NOT_ALPHANUMERIC)
+                out[[at + found[0] for found in block.find(words)]] = False
+            yield pd.Series(out)
+
+    return clean
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, params: Params = Params(), text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents in which no item is found, with all their columns; searched where they are read."""
+    wanted = items.select(F.col(item_id_col).alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    for ids, texts in _in_blocks(wanted):
+        clean = _cleaner(docs.sparkSession.sparkContext.broadcast((ids, texts)), params)
+        docs = docs.where(clean(text_or_empty(text_col)))
+    return docs

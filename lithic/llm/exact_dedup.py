@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from lithic.llm.common import OWN, WHITE, stage, text_or_empty, unstage
 
 
+#: Groups are broadcast up to this many (some 120 bytes each: 24 MB); beyond it they are joined by a shuffle.
+BROADCAST_GROUPS = 200_000
+
+
 def normalised(text):
     """Text without white space."""
     return F.regexp_replace(text_or_empty(text), WHITE + "+", "")
@@ -92,14 +96,22 @@ def dedup_rows(index: DigestIndex, docs: DataFrame, id_col: str = "doc_id", text
 
 
 def dedup(index: DigestIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str = "0") -> DataFrame:
-    """The batch's documents that stay, with all their columns."""
-    rows = digests(docs, id_col, text_col)
-    decided = index.add(rows, batch).where("fresh")
-    d, n, k, p = (OWN + x for x in ("digest", "points", "keep", "keep_points"))
-    whole = docs.withColumns({d: F.sha2(normalised(text_col), 256), n: F.length(text_or_empty(text_col)).cast("long")})
-    best = decided.select(F.col("digest").alias(d), F.col("keep_id").alias(k), F.col("keep_points").alias(p), (F.col("n_rows") > 1).alias(OWN + "many"))
-    kept = whole.join(best, d).where(F.col(id_col).eqNullSafe(F.col(k)) & (F.col(n) == F.col(p)))
-    # Rows repeated with the same id share the best place; a group of many keeps one of them.
-    one = kept.where(~F.col(OWN + "many"))
-    several = kept.where(F.col(OWN + "many")).dropDuplicates([d])
-    return one.unionByName(several).select(*docs.columns)
+    """The batch's documents that stay, with all their columns.
+
+    Only texts that occur more than once, or that the index held, are looked up; the look-up is broadcast while it has at
+    most BROADCAST_GROUPS rows. Of rows that share the best place in their group, with one id, one stays.
+    """
+    rows = stage(digests(docs, id_col, text_col), "exact-rows")
+    decided = index.add(rows, batch)
+    ties = rows.groupBy("digest", "id", "n_points").agg(F.count("*").alias("ties")).where("ties > 1")
+    d, n, k, p, t, b = (OWN + x for x in ("digest", "points", "keep", "keep_points", "ties", "first"))
+    groups = decided.where("n_rows > 1 OR NOT fresh").join(
+        ties, (decided["digest"] == ties["digest"]) & decided["keep_id"].eqNullSafe(ties["id"]) & (decided["keep_points"] == ties["n_points"]), "left")
+    groups = stage(groups.select(decided["digest"].alias(d), F.col("keep_id").alias(k), F.col("keep_points").alias(p), (F.col("ties") > 1).alias(t), F.col("fresh").alias(b)), "exact-looked-up")
+    side = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+    whole = docs.withColumns({OWN + "own": F.sha2(normalised(text_col), 256), n: F.length(text_or_empty(text_col)).cast("long")}).join(side, F.col(OWN + "own") == F.col(d), "left")
+    best = F.col(b) & F.col(id_col).eqNullSafe(F.col(k)) & (F.col(n) == F.col(p))
+    kept = whole.where(F.col(d).isNull() | (best & F.col(t).isNull()))
+    if groups.where(F.col(t) & F.col(b)).limit(1).count():
+        kept = kept.unionByName(whole.where(best & F.col(t)).dropDuplicates([d]))
+    return kept.select(*docs.columns)
