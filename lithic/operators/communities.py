@@ -12,8 +12,8 @@ from lithic.operators.retrieval import _checkpointed
 def ring(entities: DataFrame, group: str, weight: float, most: int) -> DataFrame:
     """(a, b, w): each entity with the next `most` of its group in id order - peers without all pairs of a group."""
     order = W.partitionBy(group).orderBy("id")
-    ahead = F.array(*[F.lead("id", k).over(order) for k in range(1, most + 1)])
-    return entities.select(F.col("id").alias("a"), F.explode(ahead).alias("b")).where("b IS NOT NULL").withColumn("w", F.lit(weight))
+    ahead = entities.select(F.col("id").alias("a"), *[F.lead("id", k).over(order).alias(f"b{k}") for k in range(1, most + 1)])
+    return ahead.select("a", F.explode(F.array(*[f"b{k}" for k in range(1, most + 1)])).alias("b")).where("b IS NOT NULL").withColumn("w", F.lit(weight))
 
 
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:

@@ -190,5 +190,6 @@ def with_fallback(global_search: DataFrame, semantic: DataFrame) -> DataFrame:
 
 def short_value(value: Column, most: int = 160) -> Column:
     """A value of at most so many UTF-8 bytes; a cut one ends in an ellipsis, never inside a character."""
-    cut = F.decode(F.substring(F.encode(value, "UTF-8"), 1, most - 3), "UTF-8")
-    return F.when(F.octet_length(value) <= most, value).otherwise(F.concat(F.regexp_replace(cut, "�+$", ""), F.lit("…")))
+    chars = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.substring(value, F.lit(1), i))
+    cut = F.element_at(F.filter(chars, lambda c: F.octet_length(c) <= most - 3), -1)
+    return F.when(F.octet_length(value) <= most, value).otherwise(F.concat(cut, F.lit("…")))

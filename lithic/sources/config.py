@@ -26,6 +26,7 @@ def go_mod(files: DataFrame) -> DataFrame:
     """
     raw = _lines(files).withColumn("t", F.trim(F.regexp_replace("line", r"//(?!\s*indirect).*$", "")))
     order = W.partitionBy("file").orderBy("n")
+    raw = raw.withColumn("t", F.regexp_replace("t", r"^\s+|\s+$", ""))
     inside = F.sum(F.when(F.col("t").rlike(r"^require\s*\($"), 1).otherwise(0)).over(order) > F.sum(F.when(F.col("t") == ")", 1).otherwise(0)).over(order)
     need = F.when(F.col("t").rlike(r"^require\s+[^(\s]"), F.regexp_replace("t", r"^require\s+", "")).when(inside & ~F.col("t").rlike(r"^require\s*\($") & (F.col("t") != ""), F.col("t"))
     deps = raw.withColumn("need", need).where("need IS NOT NULL").select("file", "n", F.regexp_extract("need", r"^(\S+)\s+(\S+)", 1).alias("name"), F.regexp_extract("need", r"^(\S+)\s+(\S+)", 2).alias("version"), F.col("need").rlike(r"//\s*indirect").alias("indirect")).where("name <> ''")
