@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ from lithic.llm.common import OWN, fold, stage, text_or_empty, unstage
 from lithic.llm.words import by_bytes, mix, shingles, split_words
 
 #: The list that learning starts from.
-SEED_TERMS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "imbecile", "vermin", "dumbass", "bastard", "retard", "faggot", "cunt", "bitch", "whore", "slut", "asshole")
+SEED_TERMS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "imbecile", "vermin", "dumbass", "bastard", "asshole")
 #: Words of reporting: a hit beside them is talked about, not used.
 REPORTING = frozenset("said says saying called calls quote quotes quoted quoting word words term terms phrase wrote writes written slur slurs insult insults meaning means defined definition reported reports according claimed mentions mentioned".split())
 #: Words of address.
@@ -137,24 +138,53 @@ def features(texts: list[str], lexicon: Lexicon, window: int) -> np.ndarray:
 
 # ---- learning ------------------------------------------------------------------------------------------------------
 
-def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic, two MinHashes, terms): words with their number, and stems, as letters and a star, with that of their words."""
-    counted = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int64())]))
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, toxic) with two MinHashes of the text's word shingles."""
     for whole in batches:
         for batch in by_bytes(whole, 0):
-            texts, toxic = batch.column(0).to_pylist(), batch.column(1)
             h, of = shingles(split_words(batch.column(0)), 5)
             held = []
             for salt in (1, 2):
-                least = np.full(len(texts), np.iinfo(np.uint64).max, np.uint64)
+                least = np.full(batch.num_rows, np.iinfo(np.uint64).max, np.uint64)
                 np.minimum.at(least, of, mix(h + np.uint64(salt)))
-                held.append(least.view(np.int64))
-            terms = []
-            for text in texts:
-                words = Counter(w for w in re.findall(r"[^\W_]+", text.lower()) if len(w) <= 40)
-                stems = Counter(w[:n] + "*" for w in words for n in STEM_LENGTHS if len(w) > n)
-                terms.append([{"term": t, "n": n} for t, n in sorted((words | stems).items())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), toxic, pa.array(held[0]), pa.array(held[1]), pa.array(terms, counted)], names=["text", "toxic", "a", "b", "terms"])
+                held.append(pa.array(least.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *held], names=["text", "toxic", "a", "b"])
+
+
+_COUNTED = "term string, t long, times long"
+
+
+def _terms(text: str) -> Counter:
+    """Words, with how often they occur, and stems - letters and a star - with their number of different words."""
+    words = Counter(w for w in re.findall(r"[^\W_]+", text.lower()) if len(w) <= 40)
+    return words | Counter(w[:n] + "*" for w in words for n in STEM_LENGTHS if len(w) > n)
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, documents, times) of a task's part of the sample."""
+    docs: Counter = Counter()
+    times: Counter = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            found = _terms(text)
+            docs.update(found.keys())
+            times.update(found)
+    terms = sorted(docs)
+    for at in range(0, len(terms), 50_000):
+        part = terms[at:at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([docs[t] for t in part], pa.int64()), pa.array([times[t] for t in part], pa.int64())], names=["term", "t", "times"])
+
+
+def _counter_of(wanted: set[str]):
+    """Counts the documents that hold each of the wanted terms."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                docs.update(wanted.intersection(_terms(text)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(docs.keys()), pa.string()), pa.array(list(docs.values()), pa.int64())], names=["term", "c"])
+
+    return run
 
 
 def _featurer(terms: list[Term], window: int):
@@ -198,14 +228,18 @@ def learn(docs: DataFrame, labels: DataFrame, options: Options = Options(), id_c
     sample = usable.orderBy(F.xxhash64(OWN + "id"), OWN + "id").limit(o.sample)
     sample = stage(sample, "toxic-sample")
     rows = docs.join(F.broadcast(sample), docs[id_col] == sample[OWN + "id"]).select(text_or_empty(text_col).alias("text"), "toxic")
-    rows = stage(rows.repartition(12), "toxic-rows")  # at most `sample` ids' texts
-    kinds = "text string, toxic int, a long, b long, terms array<struct<term:string,n:bigint>>"
-    known = stage(rows.mapInArrow(_sample_terms, kinds).dropDuplicates(["a"]).dropDuplicates(["b"]), "toxic-terms")
+    rows = rows.mapInArrow(_sketched, "text string, toxic int, a long, b long").withColumn("uid", F.monotonically_increasing_id())
+    rows = stage(rows, "toxic-rows")  # the texts of at most `sample` ids
+    single = stage(rows.select("uid", "a", "b").groupBy("a").agg(F.min(F.struct("uid", "b")).alias("x")).groupBy("x.b").agg(F.min("x.uid").alias("uid")).select("uid"), "toxic-single")
+    known = rows.join(F.broadcast(single), "uid").select("text", "toxic")  # at most `sample` numbers
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     least = max(o.least_support, o.least_share * n_toxic)
-    each = known.select("toxic", F.explode("terms").alias("x"))
-    counted = each.groupBy(F.col("x.term").alias("term")).agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"), F.sum(F.col("toxic") * F.col("x.n")).alias("times"))
+    # Terms are gathered from toxic documents; clean ones are then searched for those that enough of them hold.
+    toxic_terms = known.where("toxic = 1").mapInArrow(_term_counts, _COUNTED).groupBy("term").agg(F.sum("t").alias("t"), F.sum("times").alias("times")).where(F.col("t") >= min(o.dense_support, least))
+    wanted = stage(toxic_terms, "toxic-wanted")
+    clean_terms = known.where("toxic = 0").mapInArrow(_counter_of({r["term"] for r in wanted.select("term").collect()}), "term string, c long").groupBy("term").agg(F.sum("c").alias("c"))
+    counted = wanted.join(clean_terms, "term", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     odds = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
     enough = (F.col("t") >= least) | ((F.col("t") >= max(o.dense_support, 0.2 * least)) & (F.col("c") == 0) & (F.col("times") >= 3 * F.col("t")))
     best = counted.withColumn("odds", odds).where(enough & (F.col("odds") >= o.least_log_odds)).orderBy(F.desc("t"), F.desc(F.length("term")), "term").limit(20 * o.size)
@@ -215,7 +249,7 @@ def learn(docs: DataFrame, labels: DataFrame, options: Options = Options(), id_c
         beta = logistic.fit(np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float), ridge=0.1)
     else:
         beta = FALLBACK
-    for x in (sample, rows, known):
+    for x in (sample, rows, single, wanted):
         unstage(x)
     return Model(terms, beta, o.window)
 
@@ -238,7 +272,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return source.mapInArrow(_scorer(model, to_arrow_type(kind)), f"id {kind.simpleString()}, score double")
 
 
-def reject(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose score is below the threshold, with all their columns."""
-    bad = stage(score(docs, model, id_col, text_col).where(F.col("score") >= threshold).select(F.col("id").alias(OWN + "bad")).distinct(), "toxic-bad")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad[OWN + "bad"]), "left_anti")
+def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents whose score is below the threshold, with all their columns; scored where they are read."""
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lexicon = Lexicon(model.terms)
+        for texts in batches:
+            parts = [logistic.predict(model.beta, features(texts[at:at + 512].tolist(), lexicon, model.window)) for at in range(0, len(texts), 512)]
+            yield pd.Series(np.concatenate([np.zeros(0), *parts]))
+
+    return docs.where(scored(text_or_empty(text_col)) < threshold)
