@@ -3,7 +3,8 @@
 Labelled outcomes are summed per host, registered domain and suffix (grouped aggregation, one row per host at the end). Each
 level's rate has a beta prior centred on its parent's posterior mean: suffix on all pages, domain on suffix, host on
 domain, each with the strength of `prior` pages. A host is blocked where the lower bound of its posterior, mean less
-`z` standard deviations, lies above `most_bad`; hosts with few or no outcomes stay near their parents and are allowed.
+`z` standard deviations, lies above `most_bad`; a host with few or no outcomes is judged as its
+parents are.
 
 Defined results: a null url, or one without ://, has empty host and path, fits no rule, and is judged by the empty host's
 reputation; null ids are kept and have no outcome; of several labels of an id the worst counts; rows that repeat are each
