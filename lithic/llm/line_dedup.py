@@ -56,14 +56,17 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _shingles(line: Column, k: int) -> Column:
     """The hashes of all runs of k characters; a shorter line is one shingle."""
-    points = F.encode(line, "UTF-16BE")
-    count = F.greatest(F.octet_length(points) / 2 - F.lit(k - 1), F.lit(1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(F.substring(points, i * 2 + 1, F.lit(2 * k))))
+    def hashes(points: Column) -> Column:
+        count = F.greatest(F.octet_length(points) / 2 - F.lit(k - 1), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(F.substring(points, i * 2 + 1, F.lit(2 * k))))
+
+    # As a variable the encoded line is made once; named in the inner function it would be made for each shingle.
+    return F.element_at(F.transform(F.array(F.encode(line, "UTF-16BE")), hashes), 1)
 
 
 def _keys(sketch: Column, of: Bands, number: int) -> Column:
-    own = lambda j: F.slice(F.filter(sketch, lambda h: F.pmod(h, F.lit(of.bands)) == j), 1, of.rows)
-    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(of.bands - 1)), lambda j: F.when(F.size(own(j)) > 0, F.xxhash64(F.lit(number), j, own(j)))), lambda key: key.isNotNull())
+    own = F.transform(F.sequence(F.lit(0), F.lit(of.bands - 1)), lambda j: F.slice(F.filter(sketch, lambda h: F.pmod(h, F.lit(of.bands)) == j), 1, of.rows))
+    return F.filter(F.transform(own, lambda least, j: F.when(F.size(least) > 0, F.xxhash64(F.lit(number), j, least))), lambda key: key.isNotNull())
 
 
 def _bands(sketch: Column, size: Column, o: Options) -> Column:
@@ -86,22 +89,22 @@ def kept_places(docs: DataFrame, options: Options = Options(), id_col: str = "do
     lines = _lines(docs, id_col, text_col)
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "place")
     distinct = lines.groupBy("line").agg(F.min(place).alias("first"))
-    signed = distinct.select(F.monotonically_increasing_id().alias("fp"), "first", F.md5("line").alias("digest"), F.sort_array(_shingles(F.col("line"), o.shingle)).alias("s"))
+    signed = distinct.select(F.monotonically_increasing_id().alias("node"), "first", F.md5("line").alias("digest"), F.sort_array(_shingles(F.col("line"), o.shingle)).alias("s"))
     size = F.size("s")
-    nodes = stage(signed.select("fp", "first", "digest", size.alias("size"), F.array_distinct(F.slice("s", 1, o.sketch)).alias("k")).select("fp", "first", "digest", "size", _bands(F.col("k"), F.col("size"), o).alias("bands")), "line-nodes")
-    spread = nodes.select("fp", F.explode("bands").alias("bucket"))
+    nodes = stage(signed.select("node", "first", "digest", size.alias("size"), F.array_distinct(F.slice("s", 1, o.sketch)).alias("k")).select("node", "first", "digest", "size", _bands(F.col("k"), F.col("size"), o).alias("bands")), "line-nodes")
+    spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = stage(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "line-shared")
-    hits = stage(spread.join(shared, "bucket").select("bucket", "fp"), "line-hits")
-    wanted = stage(hits.select("fp").distinct().join(nodes.select("fp", "digest"), "fp"), "line-wanted")
+    hits = stage(spread.join(shared, "bucket").select("bucket", "node", F.col("band").cast("byte").alias("band")), "line-hits")
+    wanted = stage(hits.select("node").distinct().join(nodes.select("node", "digest"), "node"), "line-wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
-    texts = lines.select("line", F.md5("line").alias("digest")).join(side, "digest").select("fp", "line").dropDuplicates(["fp"])
-    sets = stage(texts.select("fp", F.array_distinct(_shingles(F.col("line"), o.shingle)).alias("items")), "line-sets")
-    cand = stage(hits.join(sets.select("fp", F.size("items").alias("size")), "fp").select("bucket", "fp", "size"), "line-cand")
+    texts = lines.select("line", F.md5("line").alias("digest")).join(side, "digest").select("node", "line").dropDuplicates(["node"])
+    sets = stage(texts.select("node", F.array_distinct(_shingles(F.col("line"), o.shingle)).alias("items")), "line-sets")
+    cand = stage(hits.join(sets.select("node", F.size("items").alias("size")), "node").select("bucket", "band", "node", "size"), "line-cand")
     known = linked(cand, sets, o.threshold)
     if known is None:
         best = nodes.select("first")
     else:
-        of = stage(nodes.select("fp", "first").join(known, nodes["fp"] == known["node"], "left").select(F.coalesce("component", "fp").alias("c"), "first"), "line-of")
+        of = stage(nodes.select("node", "first").join(known, "node", "left").select(F.coalesce("component", "node").alias("c"), "first"), "line-of")
         best = of.groupBy("c").agg(F.min("first").alias("first"))
     out = stage(best.select("first.*").groupBy("id", "mark").agg(F.sort_array(F.collect_list("place")).alias("kept")), "line-kept")
     for x in (shared, hits, wanted, sets, cand, nodes):
