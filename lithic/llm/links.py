@@ -1,6 +1,7 @@
 """Links between nodes that share buckets: verified by exact Jaccard similarity, joined to components.
 
-In a bucket nodes are compared with a few pivots, not with each other. Buckets that still hold several components get
+In a bucket nodes are compared with a few pivots, not with each other; at first in a few bands, which join most of a large
+group while its nodes meet seldom, then in all. Buckets that still hold several components get
 sixteen times as many pivots, and so on until a bucket is one component or all its nodes were pivots. Nodes of one
 component are never compared, so a large group of similar nodes costs a few comparisons each, and no link between the
 components of a bucket is left untested. Sets whose sizes alone rule the threshold out aren't compared, nor are those
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from lithic.llm.common import stage, unstage
 from lithic.llm.components import components
 
-FIRST_PIVOTS, MORE_PIVOTS = 4, 16
+FIRST_BANDS, FIRST_PIVOTS, MORE_PIVOTS = 8, 4, 16
 
 
 def most_flips(bits: int, threshold: float) -> int:
@@ -28,8 +29,8 @@ def most_flips(bits: int, threshold: float) -> int:
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sets' exact Jaccard similarity reaches the threshold, as links between their components."""
-    a = sets.select(F.col("fp").alias("u"), F.col("items").alias("a"))
-    b = sets.select(F.col("fp").alias("v"), F.col("items").alias("b"))
+    a = sets.select(F.col("node").alias("u"), F.col("items").alias("a"))
+    b = sets.select(F.col("node").alias("v"), F.col("items").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     return pairs.join(a, "u").join(b, "v").where(both >= threshold * (F.size("a") + F.size("b") - both) - 1e-9).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
 
@@ -44,28 +45,32 @@ def _merged(known: DataFrame | None, merges: DataFrame) -> DataFrame:
 
 
 def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str] | None = None, bits: int = 0) -> DataFrame | None:
-    """(node, component) of the nodes of cand (bucket, fp, size, sketch...) that chains of similar nodes in common buckets connect."""
+    """(node, component) of the nodes of cand (bucket, band, node, size, sketch...) that chains of similar nodes in common buckets connect."""
     sketch = sketch or []
-    tested, known, pivots = None, None, FIRST_PIVOTS
+    tested, known, pivots, first_round = None, None, FIRST_PIVOTS, True
     while True:
-        c = F.col("fp") if known is None else F.coalesce("component", "fp")
-        own = cand if known is None else cand.join(known, cand["fp"] == known["node"], "left")
-        members = stage(own.select("bucket", "fp", "size", *sketch, c.alias("c")), "link-members")
+        c = F.col("node") if known is None else F.coalesce("component", "node")
+        own = cand.where(F.col("band") < FIRST_BANDS) if first_round else cand
+        own = own if known is None else own.join(known, "node", "left")
+        members = stage(own.select("bucket", "node", "size", *sketch, c.alias("c")), "link-members")
         open_ = stage(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket", "n"), "link-open")
         largest = open_.agg(F.max("n")).first()[0]
+        if largest is None and first_round:
+            first_round = False
+            continue
         if largest is None:
             break
         still = stage(members.join(open_, "bucket"), "link-still")
-        share = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) * F.col("n") < F.lit(pivots << 30)
-        chosen = still.where(share | (F.col("n") <= pivots)).select("bucket", F.col("fp").alias("other"), F.col("size").alias("other_size"), F.col("c").alias("other_c"), *[F.col(s).alias("other_" + s) for s in sketch])
+        share = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("n") < F.lit(pivots << 30)
+        chosen = still.where(share | (F.col("n") <= pivots)).select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("c").alias("other_c"), *[F.col(s).alias("other_" + s) for s in sketch])
         chosen = stage(chosen, "link-pivots")
         near = F.least("size", "other_size") >= threshold * F.greatest("size", "other_size") - 1e-9
         if sketch:
             flips = sum((F.bit_count(F.col(s).bitwiseXOR(F.col("other_" + s))) for s in sketch), F.lit(0))
             near = near & (flips <= most_flips(bits, threshold))
-        first = F.col("fp") < F.col("other")
+        first = F.col("node") < F.col("other")
         pairs = still.join(chosen, "bucket").where((F.col("c") != F.col("other_c")) & near).select(
-            F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v"), F.when(first, F.col("c")).otherwise(F.col("other_c")).alias("cu"), F.when(first, F.col("other_c")).otherwise(F.col("c")).alias("cv")).distinct()
+            F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), F.when(first, F.col("c")).otherwise(F.col("other_c")).alias("cu"), F.when(first, F.col("other_c")).otherwise(F.col("c")).alias("cv")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = stage(pairs, "link-pairs")
@@ -76,7 +81,8 @@ def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str]
             known = _merged(known, components(found))
         for x in (members, open_, still, chosen):
             unstage(x)
-        if largest <= pivots:
+        if largest <= pivots and not first_round:
             break
-        pivots *= MORE_PIVOTS
+        pivots *= 1 if first_round else MORE_PIVOTS
+        first_round = False
     return known
