@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     place = tmp_path_factory.mktemp("spark")
-    s = (SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+    s = (SparkSession.builder.master("local[2]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
          .config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", str(place / "warehouse")).config("spark.checkpoint.dir", f"file://{place}/shared").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
