@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lithic.llm import automaton, ctw, decontam, exact_dedup, line_dedup, near_dedup, packing, quality, token_counts, toxicity, url_filter, words
+from lithic.llm import automaton, ctw, decontam, exact_dedup, line_dedup, links, near_dedup, packing, quality, token_counts, toxicity, url_filter, words
 from lithic.llm.common import fold
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, fp string, id string"
@@ -168,6 +168,29 @@ def test_near(spark, docs, none):
     assert {r.doc_id for r in kept.collect()} == {x for _, x in want}
 
 
+def signed(texts):
+    """Bands and sketch bits of texts, as near_dedup signs them."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+    out = pa.Table.from_batches(near_dedup._signer(5, 44, 8, pa.int64())(iter([batch])))
+    sketch = np.stack([out[s].to_numpy() for s in near_dedup.sketch_names(352)], axis=1)
+    return out["bands"].to_pylist(), np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8), axis=1)
+
+
+def repeating(seed, words=200, block=50, times=100):
+    """A text, and a copy that repeats a block of it many times."""
+    w = [f"r{seed}x{i}" for i in range(words)]
+    return " ".join(w), " ".join(w[:block] * times + w[block:])
+
+
+def test_near_sketch_keeps_links():
+    pairs = [repeating(s) for s in range(20)]
+    pairs += [(" ".join(w[:8]), " ".join(w)) for w in ([f"t{s}x{i}" for i in range(9)] for s in range(200))]  # 4 and 5 shingles
+    assert all(jaccard(shingle_set(a), shingle_set(b)) >= 0.8 for a, b in pairs)
+    _, bits = signed([t for p in pairs for t in p])
+    flips = (bits[0::2] != bits[1::2]).sum(axis=1)
+    assert flips.max() <= links.most_flips(352, 0.8)
+
+
 def test_near_large_group(spark):
     rows = [(i, edited(BASE, 1 + i % 3, 1000 + i)) for i in range(300)] + [(1000 + i, prose(150, 5000 + i)) for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
