@@ -191,6 +191,14 @@ def test_near_sketch_keeps_links():
     assert flips.max() <= links.most_flips(352, 0.8)
 
 
+def test_near_repeated_passages(spark):
+    rows = [(2 * s + k, t) for s in range(30) for k, t in enumerate(repeating(s, times=(20, 100, 200)[s % 3]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    of = components([shingle_set(t) for _, t in rows], 0.8)
+    assert got == {i: rows[k][0] for (i, _), k in zip(rows, of, strict=True)}
+
+
 def test_near_large_group(spark):
     rows = [(i, edited(BASE, 1 + i % 3, 1000 + i)) for i in range(300)] + [(1000 + i, prose(150, 5000 + i)) for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
