@@ -1,17 +1,17 @@
 """Fuzzy dedup of lines by MinHash over character shingles, with DataFrame operations alone.
 
 Lines are compared trimmed and lower-cased. Equal ones are one node from the start (a line that a third of all rows share
-costs a row per task), so signatures are made once per distinct line: the hashes of its shingles of eight characters, the
-least `sketch` of them kept. A band is a residue class of the hashes; its key is the least three of the class. Lines that
-share a band are compared by the exact Jaccard similarity of their shingles, with pivots instead of all pairs, and links
-are joined to components by distributed union-find. Of a component the first line stays, by document id and place.
+costs a row per task), so signatures are made once per distinct line: the hashes of its distinct shingles of eight
+characters, the least `sketch` of them kept. A band is a residue class of the hashes; its key is the least three of the
+class. Lines that share a band are compared by the exact Jaccard similarity of their shingles, with pivots instead of all
+pairs, and links are joined to components by distributed union-find. Of a component the first line stays, by document id and place.
 
 A pair of similarity s shares a band with probability 1 - (1 - s^3)^10: 0.999 at 0.8. Shorter lines have fewer bands, and
 lines about the border between two numbers of bands have the keys of both.
 
-Defined results: null text has no lines; blank lines belong to the layout and always stay; lines up to eight characters
-are alike only if equal; a null id sorts last; rows that repeat (same id and text) are one document, whose result each of
-them gets; lines of any length count whole; an empty table gives no rows. Other columns are never looked at.
+Defined results: null text has no lines; blank lines belong to the layout and always stay; lines of less than eight
+characters are alike only if equal, and lines of one repeated character from eight on are alike at any length; a
+null id sorts last; rows that repeat (same id and text) are one document, whose result each of them gets; lines of any length count whole; an empty table gives no rows. Other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ BROADCAST_LINES = 200_000
 
 
 class Bands(NamedTuple):
-    """bands keys of the least rows hashes each, for lines of least shingles and more."""
+    """bands keys of the least rows hashes each, for lines of least distinct shingles and more."""
 
     least: int
     bands: int
@@ -40,7 +40,7 @@ class Options(NamedTuple):
     shingle: int = 8
     sketch: int = 48
     threshold: float = 0.8
-    classes: tuple[Bands, ...] = (Bands(32, 10, 3), Bands(16, 6, 3), Bands(2, 4, 2))
+    classes: tuple[Bands, ...] = (Bands(32, 10, 3), Bands(16, 6, 3), Bands(2, 4, 2), Bands(1, 1, 1))
 
 
 def _normal(line: Column) -> Column:
@@ -89,9 +89,9 @@ def kept_places(docs: DataFrame, options: Options = Options(), id_col: str = "do
     lines = _lines(docs, id_col, text_col)
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "place")
     distinct = lines.groupBy("line").agg(F.min(place).alias("first"))
-    signed = distinct.select(F.monotonically_increasing_id().alias("node"), "first", F.md5("line").alias("digest"), F.sort_array(_shingles(F.col("line"), o.shingle)).alias("s"))
+    signed = distinct.select(F.monotonically_increasing_id().alias("node"), "first", F.md5("line").alias("digest"), F.sort_array(F.array_distinct(_shingles(F.col("line"), o.shingle))).alias("s"))
     size = F.size("s")
-    nodes = stage(signed.select("node", "first", "digest", size.alias("size"), F.array_distinct(F.slice("s", 1, o.sketch)).alias("k")).select("node", "first", "digest", "size", _bands(F.col("k"), F.col("size"), o).alias("bands")), "line-nodes")
+    nodes = stage(signed.select("node", "first", "digest", size.alias("size"), F.slice("s", 1, o.sketch).alias("k")).select("node", "first", "digest", "size", _bands(F.col("k"), F.col("size"), o).alias("bands")), "line-nodes")
     spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = stage(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "line-shared")
     hits = stage(spread.join(shared, "bucket").select("bucket", "node", F.col("band").cast("byte").alias("band")), "line-hits")

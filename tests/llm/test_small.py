@@ -448,6 +448,17 @@ def test_lines(spark, docs, none):
     assert line_dedup.line_decisions(none).count() == 0
 
 
+def test_lines_with_repeats(spark):
+    lines = ["-" * 20, "-" * 60, "=" * 30, "=" * 79, "+-" * 12, "+-" * 40, "-" * 8, "-" * 7, "short", "shorter!"]
+    for s in range(20):
+        w = [f"{x}{s}" for x in prose(30, 700 + s).split()]
+        lines += [" ".join(w), " ".join(w[:6] * 20 + w[6:])]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    of = components([frozenset(x[i:i + 8] for i in range(max(1, len(x) - 7))) for x in lines], 0.8)
+    got = {r.id: list(r.dropped) for r in line_dedup.line_decisions(df).collect()}
+    assert got == {i: [] if k == i else [0] for i, k in enumerate(of)}
+
+
 def test_fold(spark):
     got = spark.createDataFrame([(5,), (None,)], "i long").select(fold(__import__("pyspark").sql.functions.col("i"))).collect()
     assert [r[0] for r in got] == [zlib.crc32(b"5"), 0]
