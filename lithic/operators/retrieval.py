@@ -14,6 +14,8 @@ from lithic import vocab
 SEEDS = 40
 PER_ROLE = 12
 MOST_IMPACT = 1000
+# Query vectors that one pass sends to all tasks.
+MOST_QUERIES = 10_000
 CODE_SUFFIXES = tuple(e for e, _ in vocab.ROUTES)
 DOC_SUFFIXES = (".adoc", ".md", ".mdx", ".txt")
 WANTS = {"callers": ("body", "relations"), "callees": ("body", "relations"), "impact": ("body", "impact", "relations"), "file": ("body",), "search": ("body",)}
@@ -155,12 +157,27 @@ def bm25(docs: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) ->
 
 
 def cosine(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
-    """(query, id, score, rank): the nearest rows to each query vector. Queries are a stated set, broadcast under its size check."""
+    """(query, id, score, rank): the nearest rows to each query vector.
+
+    Up to MOST_QUERIES queries are broadcast; more go in blocks of about half as many, each block's answer checkpointed
+    before the next is sent.
+    """
+    n = queries.count()
+    if n <= MOST_QUERIES:
+        return _cosine(vectors, queries, most)
+    blocks = -(-2 * n // MOST_QUERIES)
+    of = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    out = None
+    for k in range(blocks):
+        found = _checkpointed(_cosine(vectors, queries.where(of == k), most))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _cosine(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(a, a))
     q = queries.select(F.col("id").alias("query"), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("nq"))
-    if queries.count() > 10_000:
-        raise ValueError("more queries than one pass sends to all tasks; pass them in blocks")
     v = vectors.select("id", "embedding", norm(F.col("embedding")).alias("nv"))
     scored = v.join(F.broadcast(q), F.col("id") != F.col("query")).select("query", "id", (dot(F.col("embedding"), F.col("q")) / (F.col("nv") * F.col("nq"))).alias("score"))
     order = W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")

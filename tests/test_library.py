@@ -104,3 +104,12 @@ def test_streams(spark, tmp_path):
     sink(spark.createDataFrame([("q", 9, "write", "y", None)], df.schema.simpleString().removeprefix("struct<").removesuffix(">")), 7)
     got = changes.read_upserted(spark, str(tmp_path / "out"))
     assert {r.event_id for r in got.where("path = 'q'").collect()} == {9} and got.where("path = 'p'").count() == 4
+
+
+def test_cosine_of_many_queries(spark):
+    v = spark.range(10_050).selectExpr("id", "array(double(id % 97), double(id % 89 + 1)) AS embedding")
+    few = v.where("id < 5")
+    got = retrieval.cosine(few, v, 2)
+    assert got.groupBy("query").count().where("count = 2").count() == 10_050
+    some = got.where("query % 1000 = 7").select("query", "id", "score", "rank")
+    assert sorted(some.collect()) == sorted(retrieval.cosine(few, v.where("id % 1000 = 7"), 2).select("query", "id", "score", "rank").collect())
