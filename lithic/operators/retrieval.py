@@ -14,6 +14,7 @@ from lithic import vocab
 SEEDS = 40
 PER_ROLE = 12
 MOST_IMPACT = 1000
+MOST_SCANNED = 200_000
 # Query vectors that one pass sends to all tasks.
 MOST_QUERIES = 10_000
 CODE_SUFFIXES = tuple(e for e, _ in vocab.ROUTES)

@@ -95,6 +95,15 @@ def prefix_scan(spark, d):
     return retrieval.by_prefix(e, "acme.web.src1", 25)
 
 
+@query("prefix_scan_whole", """
+WITH e AS (SELECT 'acme.web.' || source || '.' || doc_id AS id FROM documents),
+m AS (SELECT id, row_number() OVER (ORDER BY id) AS r, count(*) OVER () AS n FROM e WHERE starts_with(id, 'acme.web.src1'))
+SELECT id, n > 200000 AS truncated FROM m WHERE r <= 200000""")
+def prefix_scan_whole(spark, d):
+    e = read(spark, d, "documents").select(F.concat(F.lit("acme.web."), F.col("source"), F.lit("."), F.col("doc_id")).alias("id"))
+    return retrieval.by_prefix(e, "acme.web.src1", retrieval.MOST_SCANNED)
+
+
 TRIPLES_SQL = """t AS (SELECT 'd' || doc_id AS id, 'dc.terms.title' AS predicate FROM documents UNION ALL SELECT 'd' || doc_id, 'code.artifact.exported' FROM documents WHERE n_chars % 2 = 0
   UNION ALL SELECT 'd' || doc_id, 'code.artifact.test' FROM documents WHERE n_chars % 3 = 0 UNION ALL SELECT 'd' || doc_id, 'entity.lifecycle.stale' FROM documents WHERE n_chars % 5 = 0
   UNION ALL SELECT 'd' || doc_id, 'code.doc.comment' FROM documents WHERE n_chars % 7 = 0)"""

@@ -8,6 +8,7 @@ from lithic import vocab
 from lithic.engine import Engine, QueryError
 from lithic.functions import ids, text
 from lithic.operators import retrieval, split, versions
+from lithic.plans import q_graph
 from lithic.streaming import changes
 
 PIECES = st.sampled_from(["# A\n", "## B\n", "Title\n===\n", "```\n", "~~~\n", "\n", "text. ", "more words here!\n", "é日本\n", "A_X=1\n", "B=2\n", "---\n", "= T\n", "x" * 700, "y. " * 900])
@@ -113,3 +114,10 @@ def test_cosine_of_many_queries(spark):
     assert got.groupBy("query").count().where("count = 2").count() == 10_050
     some = got.where("query % 1000 = 7").select("query", "id", "score", "rank")
     assert sorted(some.collect()) == sorted(retrieval.cosine(few, v.where("id % 1000 = 7"), 2).select("query", "id", "score", "rank").collect())
+
+
+def test_prefix_scan_is_whole(spark, tmp_path):
+    spark.range(100).selectExpr("id AS doc_id", "concat('src', 1 + id % 2) AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    got = q_graph.prefix_scan_whole(spark, str(tmp_path)).collect()
+    assert [r.id for r in got] == sorted(f"acme.web.src1.{i}" for i in range(0, 100, 2)) and not any(r.truncated for r in got)
+    assert {r.truncated for r in q_graph.prefix_scan(spark, str(tmp_path)).collect()} == {True}
