@@ -16,6 +16,11 @@ def ring(entities: DataFrame, group: str, weight: float, most: int) -> DataFrame
     return ahead.select("a", F.explode(F.array(*[f"b{k}" for k in range(1, most + 1)])).alias("b")).where("b IS NOT NULL").withColumn("w", F.lit(weight))
 
 
+def peers(entities: DataFrame, kind: str, system: str) -> DataFrame:
+    """(a, b, w): siblings of one type prefix (0.7, 10 at most) and peers of one system (0.3, 15 at most), the reference's defaults."""
+    return ring(entities, kind, 0.7, 10).unionByName(ring(entities, system, 0.3, 15))
+
+
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(id, community) from (a, b, w): each node takes the label of most weight around it, the smallest of equals."""
     both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).where("a <> b")

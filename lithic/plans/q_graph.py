@@ -229,6 +229,8 @@ def community_sizes(spark, d):
 
 @query("community_labels")
 def community_labels(spark, d):
-    ent = read(spark, d, "supplier").select(key("s", "s_suppkey").alias("id"), "s_nationkey")
+    # The nation stands for the type prefix, its region for the system that holds it.
+    nations = read(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    ent = read(spark, d, "supplier").select(key("s", "s_suppkey").alias("id"), "s_nationkey").join(nations, "s_nationkey", "left")
     base = edges(spark, d).where("predicate <> 'code.relationship.calls'").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("w"))
-    return communities.label_propagation(base.unionByName(communities.ring(ent, "s_nationkey", 0.7, 10)))
+    return communities.label_propagation(base.unionByName(communities.peers(ent, "s_nationkey", "n_regionkey")))

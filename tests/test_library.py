@@ -121,3 +121,14 @@ def test_prefix_scan_is_whole(spark, tmp_path):
     got = q_graph.prefix_scan_whole(spark, str(tmp_path)).collect()
     assert [r.id for r in got] == sorted(f"acme.web.src1.{i}" for i in range(0, 100, 2)) and not any(r.truncated for r in got)
     assert {r.truncated for r in q_graph.prefix_scan(spark, str(tmp_path)).collect()} == {True}
+
+
+def test_community_labels_has_both_kinds_of_peers(spark, tmp_path, monkeypatch):
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put("orders", [(1, 1)], "o_orderkey long, o_custkey long")
+    put("customer", [(1, 1)], "c_custkey long, c_nationkey long")
+    put("nation", [(1, 1), (2, 1), (3, 2)], "n_nationkey long, n_regionkey long")
+    put("supplier", [(1, 1), (2, 1), (3, 2), (4, 3)], "s_suppkey long, s_nationkey long")
+    monkeypatch.setattr(q_graph.communities, "label_propagation", lambda edges: edges)
+    got = {(r.a, r.b, r.w) for r in q_graph.community_labels(spark, str(tmp_path)).where("w < 1").collect()}
+    assert got == {("s1", "s2", 0.7), ("s1", "s2", 0.3), ("s1", "s3", 0.3), ("s2", "s3", 0.3)}
