@@ -10,15 +10,20 @@ Which windows are embedded: by the pigeonhole principle W - e words that no edit
 window within e edits shares a run of ceil((W - e) / (e + 1)) words with the item. All windows around such a run are
 embedded, e places to either side; no other window can pass the verification.
 
+Items of fewer than min_words words are found where their words stand in a row, without edits. Items of scripts that put no
+blanks between words (Han, Kana, Thai and others) are searched with characters as symbols, and edits of characters: those of
+fewer than min_words words, and those that consist of such characters for the most part (these by words, too).
+
 Items are taken in blocks of bounded size, each sent to all tasks; documents are read where they lie, without a shuffle.
 
-Defined results: null or empty text has no windows and is clean; items that are null, or have fewer than min_words words,
-are not looked for; ids may be null or repeat, each row is judged by itself; an empty table gives no rows; an empty
+Defined results: null or empty text has no windows and is clean; items that are null, or have no
+letter or digit, are not looked for; ids may be null or repeat, each row is judged by itself; an empty table gives no rows; an empty
 benchmark leaves all clean; other columns are never looked at.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -39,6 +44,8 @@ BLOCK_BYTES = 4 << 20
 #: A bitmap of so many bits answers most look-ups of runs.
 _BITS = 22
 _END = np.uint64(0)
+#: Characters of scripts without blanks between words.
+_SPACELESS = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 class Params(NamedTuple):
@@ -121,18 +128,36 @@ def edit_distance(windows: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np
     return row[np.arange(n), best], best
 
 
+def by_words(texts: pa.Array) -> Words:
+    return split_words(texts, breaks_at=NOT_ALPHANUMERIC)
+
+
+def by_characters(texts: pa.Array) -> Words:
+    """As by_words, but each character is a word of its own."""
+    w = by_words(texts)
+    start = np.flatnonzero(((w.data & 0xC0) != 0x80) & ~NOT_ALPHANUMERIC[w.data])
+    lead = w.data[start]
+    length = 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+    code = lead.astype(np.uint64)
+    for j in range(1, 4):
+        more = length > j
+        code[more] = (code[more] << np.uint64(8)) | w.data[start[more] + j]
+    first = np.searchsorted(start, w.doc_start)
+    return Words(w.data, w.doc_start, start, start + length, np.repeat(np.arange(w.n_docs), np.diff(first)), mix(code), first)
+
+
 class Block:
-    """Items with the look-up of their runs."""
+    """Items with the look-up of their runs, of words or of characters."""
 
-    def __init__(self, ids: list, texts: list[str], p: Params):
-        words = split_words(pa.array(texts, pa.string()), breaks_at=NOT_ALPHANUMERIC)
+    def __init__(self, ids: list, texts: list[str], p: Params, split=by_words):
+        words = split(pa.array(texts, pa.string()))
         self.items: list[Item] = []
         runs: dict[int, list[tuple[int, int, int]]] = {}
         for k, i in enumerate(ids):
             own = words.hash[words.first[k]:words.first[k + 1]]
-            if len(own) < p.min_words:
+            if not len(own):
                 continue
-            edits = int(p.max_edits * len(own) + 1e-9)
+            edits = int(p.max_edits * len(own) + 1e-9) if len(own) >= p.min_words else 0
             run = -(-(len(own) - edits) // (edits + 1))
             at = len(self.items)
             self.items.append(Item(i, own, edits, run))
@@ -197,7 +222,30 @@ class Block:
         return sorted(best.values(), key=lambda r: (r[0], str(r[1])))
 
 
-_blocks: dict[int, Block] = {}
+class Search:
+    """Items by words, and those of scripts without blanks by characters."""
+
+    def __init__(self, ids: list, texts: list[str], p: Params):
+        n_words = np.diff(by_words(pa.array(texts, pa.string())).first)
+        spaceless = np.array([len(_SPACELESS.findall(t)) for t in texts], np.int64)
+        n_chars = np.diff(by_characters(pa.array(texts, pa.string())).first)
+        few = n_words < p.min_words
+        chars = (spaceless > 0) & (few | (2 * spaceless > n_chars))
+        self.blocks = []
+        for split, mine in ((by_words, ~(few & chars)), (by_characters, chars)):
+            at = np.flatnonzero(mine & (n_words > 0))
+            if len(at):
+                self.blocks.append((split, Block([ids[k] for k in at], [texts[k] for k in at], p, split)))
+
+    def find(self, texts: pa.Array) -> list[tuple[int, object, int, int, int]]:
+        found: dict[tuple[int, object], tuple] = {}
+        for split, block in self.blocks:
+            for row in block.find(split(texts)):
+                found.setdefault((row[0], row[1]), row)
+        return sorted(found.values(), key=lambda r: (r[0], str(r[1])))
+
+
+_blocks: dict[int, Search] = {}
 
 
 def _finder(sent, key: int, p: Params, id_type: pa.DataType, item_type: pa.DataType):
@@ -206,12 +254,12 @@ def _finder(sent, key: int, p: Params, id_type: pa.DataType, item_type: pa.DataT
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _blocks:
             _blocks.clear()
-            _blocks[key] = Block(*sent.value, p)
+            _blocks[key] = Search(*sent.value, p)
         block = _blocks[key]
         for whole in batches:
             for batch in by_bytes(whole, 1):
                 rows = [list(x) for x in batch.column(2).to_pylist()]
-                for doc, item, start, end, edits in block.find(split_words(batch.column(1), breaks_at=NOT_ALPHANUMERIC)):
+                for doc, item, start, end, edits in block.find(batch.column(1)):
                     rows[doc].append({"item": item, "start": start, "end": end, "edits": edits})
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), batch.column(1), pa.array(rows, match)], names=["id", "text", "matches"])
 
@@ -250,12 +298,12 @@ def contamination(docs: DataFrame, items: DataFrame, params: Params = Params(),
 def _cleaner(sent, params: Params):
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        block = Block(*sent.value, params)
+        block = Search(*sent.value, params)
         for column in batches:
             out = np.ones(len(column), bool)
             for at in range(0, len(column), 512):
-                words = split_words(pa.array(column[at:at + 512], pa.string()), breaks_at=NOT_ALPHANUMERIC)
-                out[[at + found[0] for found in block.find(words)]] = False
+                texts = pa.array(column[at:at + 512], pa.string())
+                out[[at + found[0] for found in block.find(texts)]] = False
             yield pd.Series(out)
 
     return clean

@@ -230,6 +230,20 @@ def test_decontamination(spark, docs, none):
     assert decontam.contamination(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(40))
+    items = [(1, "Tangled copper lichen"), (2, "北京是首都"), (3, "?!"), (4, "zebra"), (5, han), (6, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    changed = "".join("改" if i in (5, 12, 20, 33) else c for i, c in enumerate(han))
+    rows = [(0, prose(40, 1) + " tangled, COPPER lichen " + prose(9, 2)), (1, "tangled copper lichens"), (2, "我知道北京是首都吗"), (3, "北京不是首都 ?!"), (4, "a zebras b"), (5, "zebra"), (6, "前" + changed + "后"), (7, prose(60, 8)), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.matches for r in decontam.contamination(df, bench).collect()}
+    assert {i: [m["item"] for m in ms] for i, ms in got.items() if ms} == {0: [1], 2: [2], 3: [2], 5: [4], 6: [5]}
+    span = got[2][0]
+    assert rows[2][1].encode()[span["start"]:span["end"]].decode() == items[1][1]
+    assert {r.doc_id for r in decontam.decontaminate(df, bench).collect()} == {1, 4, 7, 8}
+
+
 def test_edit_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
