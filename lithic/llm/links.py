@@ -1,24 +1,30 @@
 """Links between nodes that share buckets: verified by exact Jaccard similarity, joined to components.
 
-In a bucket nodes are compared with a few pivots, not with each other; at first in a few bands, which join most of a large
-group while its nodes meet seldom, then in all. Buckets that still hold several components get
-sixteen times as many pivots, and so on until a bucket is one component or all its nodes were pivots. Nodes of one
-component are never compared, so a large group of similar nodes costs a few comparisons each, and no link between the
-components of a bucket is left untested. Sets whose sizes alone rule the threshold out aren't compared, nor are those
-whose sketches (bits that differ with half the chance that registers do) are four standard deviations too far apart.
+In a bucket nodes are compared with pivots, not with each other: at first with one in a few bands, which joins most of a
+large group while its nodes meet seldom, then with one in every band, then with eight times as many in each round, until a
+bucket is one component or all its nodes were pivots. Nodes of one component are never compared: of a bucket, members of
+its largest component meet only the pivots outside it. So a large group of similar nodes costs a few comparisons each, and
+no link between components that share a bucket is left untested. A pair is tested by its sizes, then by sketches (bits
+that differ with half the chance that registers do; 4.2 standard deviations are allowed), and only then by its sets.
+
+A bucket of many unlike nodes doesn't shrink this way. Where `split_over` is given, a bucket whose comparisons would exceed
+it is replaced by buckets of two keys: a pair in it must share a second key, whichever that is. With 44 bands of 8 registers
+a pair at 0.8 has a second key with probability 0.997; nothing else is left out, and no bucket is cut short.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithic.llm.common import stage, unstage
 from lithic.llm.components import components
 
-FIRST_BANDS, FIRST_PIVOTS, MORE_PIVOTS = 8, 4, 16
+FIRST_BANDS, MORE_PIVOTS = 4, 8
+#: The band of buckets of two keys.
+TWO_KEYS = 127
 
 
 def most_flips(bits: int, threshold: float) -> int:
@@ -44,45 +50,73 @@ def _merged(known: DataFrame | None, merges: DataFrame) -> DataFrame:
     return stage(moved.unionByName(merges.join(known.select("node"), "node", "left_anti")), "link-known")
 
 
-def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str] | None = None, bits: int = 0) -> DataFrame | None:
-    """(node, component) of the nodes of cand (bucket, band, node, size, sketch...) that chains of similar nodes in common buckets connect."""
+def _two_keys(cand: DataFrame, hot: DataFrame) -> DataFrame:
+    """cand with the entries of hot buckets replaced by entries of buckets that stand for two keys."""
+    own = cand.join(hot, "bucket", "left_semi")
+    more = cand.where(F.col("band") != TWO_KEYS).select(F.col("bucket").alias("second"), "node")
+    pairs = own.join(more, "node").where("bucket <> second")
+    pairs = pairs.withColumn("bucket", F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second"))).withColumn("band", F.lit(TWO_KEYS).cast("byte")).drop("second").distinct()
+    return stage(cand.join(hot, "bucket", "left_anti").unionByName(pairs.select(*cand.columns)), "link-two-keys")
+
+
+def _chosen(pivots: int) -> Column:
+    """About `pivots` nodes of a bucket, one at least; those of fewer pivots are among those of more."""
+    share = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("n") < F.lit(pivots << 30)
+    return (F.xxhash64("node") == F.col("least")) | (F.col("n") <= pivots) | (share if pivots > 1 else F.lit(False))
+
+
+def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str] | None = None, bits: int = 0, split_over: int | None = None) -> DataFrame | None:
+    """(node, component) of the nodes of cand (bucket, band, node, size, sketch...) that chains of similar nodes in common buckets connect.
+
+    None if nothing is linked.
+    """
     sketch = sketch or []
-    tested, known, pivots, first_round = None, None, FIRST_PIVOTS, True
+    known, pivots, before, few = None, 1, 0, True
+    given = cand
     while True:
-        c = F.col("node") if known is None else F.coalesce("component", "node")
-        own = cand.where(F.col("band") < FIRST_BANDS) if first_round else cand
-        own = own if known is None else own.join(known, "node", "left")
-        members = stage(own.select("bucket", "node", "size", *sketch, c.alias("c")), "link-members")
-        open_ = stage(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket", "n"), "link-open")
+        own = cand.where(F.col("band") < FIRST_BANDS) if few else cand
+        columns = ["bucket", "band", "node", "size", *sketch]
+        members = own.select(*columns, F.col("node").alias("c"))
+        if known is not None:
+            members = stage(own.join(known, "node", "left").select(*columns, F.coalesce("component", "node").alias("c")), "link-members")
+        parts = members.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.min(F.xxhash64("node")).alias("least"))
+        open_ = stage(parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max(F.struct("n", "c")).alias("x"), F.count("*").alias("k")).where("k > 1")
+                      .select("bucket", "n", "least", F.col("x.c").alias("most"), (F.col("n") - F.col("x.n")).alias("outside")), "link-open")
         largest = open_.agg(F.max("n")).first()[0]
-        if largest is None and first_round:
-            first_round = False
-            continue
-        if largest is None:
-            break
-        still = stage(members.join(open_, "bucket"), "link-still")
-        share = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("n") < F.lit(pivots << 30)
-        chosen = still.where(share | (F.col("n") <= pivots)).select("bucket", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("c").alias("other_c"), *[F.col(s).alias("other_" + s) for s in sketch])
-        chosen = stage(chosen, "link-pivots")
-        near = F.least("size", "other_size") >= threshold * F.greatest("size", "other_size") - 1e-9
-        if sketch:
-            flips = sum((F.bit_count(F.col(s).bitwiseXOR(F.col("other_" + s))) for s in sketch), F.lit(0))
-            near = near & (flips <= most_flips(bits, threshold))
-        first = F.col("node") < F.col("other")
-        pairs = still.join(chosen, "bucket").where((F.col("c") != F.col("other_c")) & near).select(
-            F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), F.when(first, F.col("c")).otherwise(F.col("other_c")).alias("cu"), F.when(first, F.col("other_c")).otherwise(F.col("c")).alias("cv")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = stage(pairs, "link-pairs")
-        found = stage(_similar(pairs, sets, threshold).distinct(), "link-found")
-        seen = pairs.select("u", "v")
-        tested = seen if tested is None else tested.unionByName(seen)
-        if not found.isEmpty():
-            known = _merged(known, components(found))
-        for x in (members, open_, still, chosen):
+        if split_over and not few and largest and pivots >= 64:
+            hot = open_.where(F.col("n") * F.col("outside") > split_over).join(cand.where(F.col("band") != TWO_KEYS).select("bucket").distinct(), "bucket", "left_semi").select("bucket")
+            if not hot.isEmpty():
+                now = _two_keys(cand, hot)
+                cand, split_over, pivots, before = now, None, 1, 0
+                unstage(open_)
+                continue
+        still = None
+        if largest is not None:
+            # The pairs of the pivots of earlier rounds were tested then, in other bands and buckets too for the most part.
+            fresh = _chosen(pivots) if not before else _chosen(pivots) & ~(_chosen(before) & (F.lit(True) if before > 1 or pivots > 1 else F.col("band") < FIRST_BANDS))
+            still = stage(members.join(open_, "bucket").select("bucket", "node", "size", "c", *sketch, (F.col("c") != F.col("most")).alias("outside"), fresh.alias("pivot")), "link-still")
+            chosen = still.where("pivot").select("bucket", F.explode(F.when(F.col("outside"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("outside"), F.col("node").alias("other"),
+                                                 F.col("size").alias("other_size"), F.col("c").alias("other_c"), *[F.col(s).alias("other_" + s) for s in sketch])
+            near = F.least("size", "other_size") >= threshold * F.greatest("size", "other_size") - 1e-9
+            if sketch:
+                flips = sum((F.bit_count(F.col(s).bitwiseXOR(F.col("other_" + s))) for s in sketch), F.lit(0))
+                near = near & (flips <= most_flips(bits, threshold))
+            first = F.col("node") < F.col("other")
+            pairs = still.join(chosen, ["bucket", "outside"]).where((F.col("c") != F.col("other_c")) & near).select(
+                F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), F.when(first, F.col("c")).otherwise(F.col("other_c")).alias("cu"), F.when(first, F.col("other_c")).otherwise(F.col("c")).alias("cv")).distinct()
+            found = stage(_similar(pairs, sets, threshold).distinct(), "link-found")
+            if not found.isEmpty():
+                old, known = known, _merged(known, components(found))
+                unstage(old)
+            unstage(found)
+        for x in (members, open_, still):
             unstage(x)
-        if largest <= pivots and not first_round:
+        if few:
+            few, before = False, 1
+            continue
+        if largest is None or largest <= pivots:
             break
-        pivots *= 1 if first_round else MORE_PIVOTS
-        first_round = False
+        before, pivots = pivots, pivots * MORE_PIVOTS
+    if cand is not given:
+        unstage(cand)
     return known

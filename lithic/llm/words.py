@@ -29,18 +29,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes are hashed so many at a time, so that what is held beside a text doesn't grow with it.
+SEGMENT = 1 << 16
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the multiplier and of its inverse, up to the n-th; kept between calls."""
-    if len(_powers[0]) < n + 1:
-        size = max(n + 1, 2 * len(_powers[0]))
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
-    return _powers[0], _powers[1]
+@lru_cache(maxsize=1)
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the multiplier and of its inverse, up to those of a segment."""
+    tables = []
+    for base in (_BASE, _BASE_INVERSE):
+        table = np.full(SEGMENT + 1, base, np.uint64)
+        table[0] = 1
+        tables.append(np.multiply.accumulate(table))
+    return tables[0], tables[1]
 
 
 class Words(NamedTuple):
@@ -59,6 +60,41 @@ class Words(NamedTuple):
         return len(self.doc_start) - 1
 
 
+def _edges(data: np.ndarray, doc_start: np.ndarray, breaks_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte, and byte after the last, of each word: words end at marked bytes and at the ends of texts."""
+    size, starts, ends = len(data), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, size, SEGMENT):
+        b = min(a + SEGMENT, size)
+        gap = np.ones(b - a + 2, bool)  # with the byte before the segment and the byte after it
+        low, high = max(a - 1, 0), min(b + 1, size)
+        gap[low - a + 1:high - a + 1] = breaks_at[data[low:high]]
+        new = np.zeros(b - a + 1, bool)
+        new[doc_start[np.searchsorted(doc_start, a):np.searchsorted(doc_start, b, side="right")] - a] = True
+        inside = ~gap[1:-1]
+        starts.append(np.flatnonzero(inside & (gap[:-2] | new[:-1])) + a)
+        ends.append(np.flatnonzero(inside & (gap[2:] | new[1:])) + a + 1)
+    return np.concatenate(starts), np.concatenate(ends)
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The polynomial hash of each word, from the sums of the segments that it lies in."""
+    power, inverse = _power_tables()
+    sums = np.zeros(SEGMENT + 1, np.uint64)
+    out = np.zeros(len(start), np.uint64)
+    for a in range(0, len(data), SEGMENT):
+        b = min(a + SEGMENT, len(data))
+        low, high = int(np.searchsorted(end, a, side="right")), int(np.searchsorted(start, b))
+        if low == high:
+            continue
+        np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * power[:b - a], out=sums[1:b - a + 1])
+        s, e = np.maximum(start[low:high], a) - a, np.minimum(end[low:high], b) - a
+        part = (sums[e] - sums[s]) * inverse[s]
+        if start[low] < a:  # a word that began in an earlier segment goes on
+            part[:1] *= np.array([pow(int(_BASE), int(a - start[low]), 1 << 64)], np.uint64)
+        out[low:high] += part
+    return mix(out + (end - start).astype(np.uint64) * _ODD)
+
+
 def split_words(texts: pa.Array, lower: bool = True, breaks_at: np.ndarray = _IS_WHITE) -> Words:
     """Splits UTF-8 texts (no nulls) at the bytes marked in breaks_at, by default white space; A-Z are lower-cased if asked."""
     texts = texts.cast(pa.large_string())
@@ -71,20 +107,8 @@ def split_words(texts: pa.Array, lower: bool = True, breaks_at: np.ndarray = _IS
     doc_start = offsets - offsets[0]
     if lower:
         data = _LOWER[data]
-    white = breaks_at[data]
-    size = len(data)
-    breaks = np.zeros(size + 1, bool)
-    breaks[doc_start] = True
-    before = np.ones(size, bool)
-    before[1:] = white[:-1]
-    after = np.ones(size, bool)
-    after[:-1] = white[1:]
-    start = np.flatnonzero(~white & (before | breaks[:size]))
-    end = np.flatnonzero(~white & (after | breaks[1:])) + 1
-    power, inverse = _power_tables(size)
-    sums = np.zeros(size + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:size], out=sums[1:])
-    hashed = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _ODD)
+    start, end = _edges(data, doc_start, breaks_at)
+    hashed = _hashes(data, start, end)
     first = np.searchsorted(start, doc_start)
     doc = np.repeat(np.arange(n), np.diff(first))
     return Words(data, doc_start, start, end, doc, hashed, first)
@@ -127,7 +151,7 @@ def distinct(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h[at], d[at], np.diff(np.append(at, len(h)))
 
 
-def by_bytes(batch: pa.RecordBatch, text_column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, text_column: int, most: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about `most` bytes, or one row of more."""
     size = pc.binary_length(batch.column(text_column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     total, at = np.cumsum(size), 0

@@ -170,7 +170,7 @@ def test_near(spark, docs, none):
 
 def signed(texts):
     """Bands and sketch bits of texts, as near_dedup signs them."""
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string()), pa.array(range(len(texts)), pa.int64())], names=["id", "text", "mark"])
     out = pa.Table.from_batches(near_dedup._signer(5, 44, 8, pa.int64())(iter([batch])))
     sketch = np.stack([out[s].to_numpy() for s in near_dedup.sketch_names(352)], axis=1)
     return out["bands"].to_pylist(), np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8), axis=1)
@@ -207,6 +207,34 @@ def test_near_large_group(spark):
     assert got == {i: rows[k][0] for (i, _), k in zip(rows, of, strict=True)}
 
 
+def test_near_rows_of_one_id(spark):
+    """Each row is decided by itself: repeated ids with other texts, null ids among copies, repeated rows."""
+    a, b, c, d = (prose(60, 700 + i) for i in range(4))
+    rows = [(3, a), (5, a), (5, b), (1, c), (None, c), (None, d), (None, d), (7, None), (7, ""), (1, c)]
+    df = spark.createDataFrame(rows, SCHEMA.split(",")[0] + ", text string")
+    kept = near_dedup.near_dedup(df).collect()
+    assert Counter((r.doc_id, (r.text or "")) for r in kept) == Counter([(3, a), (5, b), (1, c), (None, d), (7, "")])
+    got = near_dedup.near_duplicates(df).collect()
+    assert sum(r.kept for r in got) == 5 and Counter(r.class_size for r in got) == Counter({2: 6, 1: 1, 3: 3})
+
+
+def test_near_buckets_of_two_keys(spark):
+    """Many unlike texts that share a passage, and near copies among them: split buckets find the same classes."""
+    shared = prose(150, 4242)
+    rows = [(i, shared + " " + prose(45 + i % 5, 9000 + i)) for i in range(250)] + [(300 + i, edited(shared + " " + prose(45 + i % 5, 9000 + i), 2, i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.class_id for r in near_dedup.near_duplicates(df, split_over=500).collect()}
+    of = components([shingle_set(t) for _, t in rows], 0.8)
+    assert got == {i: rows[k][0] for (i, _), k in zip(rows, of, strict=True)}
+
+
+def test_hash_of_long_words():
+    """A word's hash doesn't depend on where segments of the text begin."""
+    word = "ab" * 100_000
+    w = words.split_words(pa.array(["x " + word + " y", word, "y" + " " * words.SEGMENT + "x"], pa.string()))
+    assert w.hash[1] == w.hash[3] and w.hash[0] == w.hash[5] and w.hash[2] == w.hash[4] and len(w.hash) == 6
+
+
 def test_probability_jaccard_estimate():
     a, b = np.arange(1, 101, dtype=np.uint64), np.arange(21, 121, dtype=np.uint64)
     held = near_dedup.registers(words.mix(np.concatenate([a, b])), np.repeat([0, 1], 100), np.ones(200), 2, 4096)
