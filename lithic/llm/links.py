@@ -4,8 +4,8 @@ In a bucket nodes are compared with pivots, not with each other: at first with o
 large group while its nodes meet seldom, then with one in every band, then with eight times as many in each round, until a
 bucket is one component or all its nodes were pivots. Nodes of one component are never compared: of a bucket, members of
 its largest component meet only the pivots outside it. So a large group of similar nodes costs a few comparisons each, and
-no link between components that share a bucket is left untested. A pair is tested by its sizes, then by sketches (bits
-that differ with half the chance that registers do; 4.2 standard deviations are allowed), and only then by its sets.
+no link between components that share a bucket is left untested. A pair is tested by its sizes, then by sketches (four bits
+of each register; 4.2 standard deviations are allowed), and only then by its sets.
 
 A bucket of many unlike nodes doesn't shrink this way. Where `split_over` is given, a bucket whose comparisons would exceed
 it is replaced by buckets of two keys: a pair in it must share a second key, whichever that is. With 44 bands of 8 registers
@@ -27,10 +27,27 @@ FIRST_BANDS, MORE_PIVOTS = 4, 8
 TWO_KEYS = 127
 
 
-def most_flips(bits: int, threshold: float) -> int:
-    """The flipped bits between the sketches of two sets at the threshold, and 4.2 standard deviations more."""
-    q = (1 - threshold) / 2
-    return int(bits * q + 4.2 * math.sqrt(bits * q * (1 - q)))
+#: Bits kept of each register, in as many planes: registers that differ show it with a chance of 15 in 16.
+PLANES = 4
+
+
+def most_differences(registers: int, threshold: float) -> int:
+    """The registers that differ between the sketches of two sets at the threshold, and 4.2 standard deviations more."""
+    q = (1 - threshold) * (1 - 2.0**-PLANES)
+    return int(registers * q + 4.2 * math.sqrt(registers * q * (1 - q)))
+
+
+def _differences(sketch: list[str]) -> Column:
+    """How many registers differ: a register's bits stand at one place of each plane, planes one after the other."""
+    words = len(sketch) // PLANES
+    differ = [F.col(x).bitwiseXOR(F.col("other_" + x)) for x in sketch]
+    count = F.lit(0)
+    for w in range(words):
+        any_plane = differ[w]
+        for plane in range(1, PLANES):
+            any_plane = any_plane.bitwiseOR(differ[plane * words + w])
+        count = count + F.bit_count(any_plane)
+    return count
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -65,16 +82,16 @@ def _chosen(pivots: int) -> Column:
     return (F.xxhash64("node") == F.col("least")) | (F.col("n") <= pivots) | (share if pivots > 1 else F.lit(False))
 
 
-def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str] | None = None, bits: int = 0, split_over: int | None = None) -> DataFrame | None:
+def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str] | None = None, registers: int = 0, split_over: int | None = None) -> DataFrame | None:
     """(node, component) of the nodes of cand (bucket, band, node, size, sketch...) that chains of similar nodes in common buckets connect.
 
     None if nothing is linked.
     """
     sketch = sketch or []
     known, pivots, before, few = None, 1, 0, True
-    given = cand
+    given, left = cand, cand
     while True:
-        own = cand.where(F.col("band") < FIRST_BANDS) if few else cand
+        own = cand.where(F.col("band") < FIRST_BANDS) if few else left
         columns = ["bucket", "band", "node", "size", *sketch]
         members = own.select(*columns, F.col("node").alias("c"))
         if known is not None:
@@ -87,20 +104,20 @@ def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str]
             hot = open_.where(F.col("n") * F.col("outside") > split_over).join(cand.where(F.col("band") != TWO_KEYS).select("bucket").distinct(), "bucket", "left_semi").select("bucket")
             if not hot.isEmpty():
                 now = _two_keys(cand, hot)
-                cand, split_over, pivots, before = now, None, 1, 0
+                unstage(left if left is not given else None)
+                cand, left, split_over, pivots, before = now, now, None, 1, 0
                 unstage(open_)
                 continue
         still = None
         if largest is not None:
             # The pairs of the pivots of earlier rounds were tested then, in other bands and buckets too for the most part.
             fresh = _chosen(pivots) if not before else _chosen(pivots) & ~(_chosen(before) & (F.lit(True) if before > 1 or pivots > 1 else F.col("band") < FIRST_BANDS))
-            still = stage(members.join(open_, "bucket").select("bucket", "node", "size", "c", *sketch, (F.col("c") != F.col("most")).alias("outside"), fresh.alias("pivot")), "link-still")
+            still = stage(members.join(open_, "bucket").select("bucket", "band", "node", "size", "c", *sketch, (F.col("c") != F.col("most")).alias("outside"), fresh.alias("pivot")), "link-still")
             chosen = still.where("pivot").select("bucket", F.explode(F.when(F.col("outside"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("outside"), F.col("node").alias("other"),
                                                  F.col("size").alias("other_size"), F.col("c").alias("other_c"), *[F.col(s).alias("other_" + s) for s in sketch])
             near = F.least("size", "other_size") >= threshold * F.greatest("size", "other_size") - 1e-9
             if sketch:
-                flips = sum((F.bit_count(F.col(s).bitwiseXOR(F.col("other_" + s))) for s in sketch), F.lit(0))
-                near = near & (flips <= most_flips(bits, threshold))
+                near = near & (_differences(sketch) <= most_differences(registers, threshold))
             first = F.col("node") < F.col("other")
             pairs = still.join(chosen, ["bucket", "outside"]).where((F.col("c") != F.col("other_c")) & near).select(
                 F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), F.when(first, F.col("c")).otherwise(F.col("other_c")).alias("cu"), F.when(first, F.col("other_c")).otherwise(F.col("c")).alias("cv")).distinct()
@@ -109,14 +126,19 @@ def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str]
                 old, known = known, _merged(known, components(found))
                 unstage(old)
             unstage(found)
+        # A bucket that is one component stays one: only the others go on.
+        go_on = not few and largest is not None and largest > pivots
+        if go_on:
+            old, left = left, stage(still.select("bucket", "band", "node", "size", *sketch), "link-left")
+            unstage(old if old is not given and old is not cand else None)
         for x in (members, open_, still):
             unstage(x)
         if few:
             few, before = False, 1
-            continue
-        if largest is None or largest <= pivots:
+        elif go_on:
+            before, pivots = pivots, pivots * MORE_PIVOTS
+        else:
             break
-        before, pivots = pivots, pivots * MORE_PIVOTS
-    if cand is not given:
-        unstage(cand)
+    for x in (left, cand):
+        unstage(x if x is not given else None)
     return known
