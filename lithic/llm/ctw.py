@@ -7,8 +7,10 @@ them: w = KT / (KT + product of the children's weighted probabilities). A contex
 
 Counting: each task counts the six-byte strings and the words of its documents (strings and words of held-out documents are
 listed with a count of 0), and one aggregation sums them: what is gathered grows with the text. The trees are weighted in
-partitions that hold whole subtrees below two bytes of context; the two levels above them are at most 65,280 nodes. The
-result is a table: string -> log10 probability. Documents are then scored in one pass: strings and words frequent enough
+partitions that hold whole subtrees below three bytes of context, sorted, and taken a subtree or some at a time, so that a
+frequent pair of bytes is spread over tasks and none holds its partition; a second aggregation makes the nodes of two bytes,
+of which UTF-8 text of all scripts has some two million, and from those come the 65,280 of one byte. The result is a table:
+string -> log10 probability. Documents are then scored in one pass: strings and words frequent enough
 to be among `most_hot` are looked up in a table of that bounded size, sent to all tasks; the rest are joined by a shuffle.
 
 Defined results: null or empty text is its end alone; ids may be null (their fold is that of the empty text) or repeat,
@@ -19,6 +21,7 @@ other columns are never looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -31,11 +34,14 @@ from lithic.llm.common import fold, stage, text_or_empty, unstage
 from lithic.llm.words import Words, by_bytes, mix, split_words
 
 DEPTH = 5
+#: Strings that are weighted at once, but for larger subtrees below three bytes.
+CHUNK = 100_000
+#: Nodes of two bytes are sent to the tasks up to this many (32 bytes each); beyond it tasks are given only those they need, by a join.
+MOST_SECOND = 2_000_000
 END = 10
 #: The key of the end token; words have other keys but for one chance in 2^64.
 END_KEY = int(mix(np.array([0x5EED], np.uint64))[0])
-_SHIFT = [np.uint64(48 - 8 * d) for d in range(DEPTH + 1)]
-_B8, _B16, _LOW = np.uint64(8), np.uint64(16), np.uint64(255)
+_B8, _B16, _B24, _LOW = np.uint64(8), np.uint64(16), np.uint64(24), np.uint64(255)
 
 
 # ---- strings of a batch ----------------------------------------------------------------------------------------------
@@ -78,7 +84,7 @@ def strings(words: Words) -> tuple[np.ndarray, np.ndarray]:
 class _Counts:
     """Sorted distinct keys with their counts, gathered chunk by chunk."""
 
-    def __init__(self, most: int = 3_000_000):
+    def __init__(self, most: int = 1_000_000):
         self.most, self.parts, self.size = most, [], 0
 
     def add(self, keys: np.ndarray, counted: bool) -> None:
@@ -146,9 +152,24 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(low)
 
 
+@lru_cache(maxsize=2)
+def _gammas(offset: float) -> np.ndarray:
+    return log_gamma(np.arange(1 << 14) + offset)
+
+
+def _log_gamma_of_counts(n: np.ndarray, offset: float) -> np.ndarray:
+    """ln gamma(n + offset) of whole numbers; small ones are looked up."""
+    table = _gammas(offset)
+    out = table[np.minimum(n, len(table) - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= len(table))
+    if len(large):
+        out[large] = log_gamma(n[large] + offset)
+    return out
+
+
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """ln of the KT block probability of a zeros and b ones."""
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
+    return _log_gamma_of_counts(a, 0.5) + _log_gamma_of_counts(b, 0.5) - _log_gamma_of_counts(a + b, 1.0) - np.log(np.pi)
 
 
 def weigh(kt: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,68 +178,88 @@ def weigh(kt: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return both - np.log(2), np.exp(kt - both)
 
 
+class Mixture(NamedTuple):
+    """Of a one's probability: what nodes so far add, the weight left to deeper ones, and the whole if no deeper one was seen."""
+
+    so_far: np.ndarray
+    left: np.ndarray
+    ends: np.ndarray
+
+    def at(self, index: np.ndarray) -> Mixture:
+        return Mixture(*(x[index] for x in self))
+
+
 class Level(NamedTuple):
-    """The binary nodes of one depth and one bit: keys context << 8 | prefix, counts, and each string's node."""
+    """The binary nodes of one depth and one bit: keys context << 8 | prefix, counts, weights, and what below lies at each."""
 
     key: np.ndarray
     a: np.ndarray
     b: np.ndarray
-    of: np.ndarray
     log_w: np.ndarray
     own: np.ndarray
+    of: np.ndarray  # the node of each node one deeper, or of each string
+
+    def mixed(self, above: Mixture) -> Mixture:
+        """The mixture at these nodes, given that of the contexts above each; a node that training never saw adds nothing."""
+        seen, one = self.a + self.b > 0, (self.b + 0.5) / (self.a + self.b + 1)
+        so_far, left, ends = above
+        return Mixture(so_far + left * self.own * one, left * (1 - self.own), np.where(seen, so_far + left * one, ends))
+
+
+def _shorter(key: np.ndarray) -> np.ndarray:
+    """A node's key without the farthest byte of its context."""
+    return ((key >> _B16) << _B8) | (key & _LOW)
+
+
+def subtrees(keys: np.ndarray, n: np.ndarray, bit: int) -> list[Level]:
+    """The nodes of depths 5, 4 and 3 over sorted strings, weighted from below."""
+    symbol = keys & _LOW
+    node = (keys & ~_LOW) | np.uint64(1 << bit) | (symbol >> np.uint64(8 - bit))
+    new = np.ones(len(node), bool)
+    new[1:] = node[1:] != node[:-1]  # as sorted as the strings
+    of, one = np.cumsum(new) - 1, (symbol >> np.uint64(7 - bit)) & np.uint64(1) == 1
+    count = lambda w: np.bincount(of, weights=w, minlength=int(new.sum()))
+    a, b = count(np.where(one, 0, n)), count(np.where(one, n, 0))
+    out = [Level(node[new], a, b, log_kt(a, b), np.ones(len(a)), of)]
+    for _ in range(DEPTH - 3):
+        below = out[-1]
+        key, of = np.unique(_shorter(below.key), return_inverse=True)
+        a, b, children = (np.bincount(of, weights=w, minlength=len(key)) for w in (below.a, below.b, below.log_w))
+        out.append(Level(key, a, b, *weigh(log_kt(a, b), children), of))
+    return out
+
+
+def tops(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, a, b, sum of ln weighted probabilities) that sorted strings add to the nodes of depth 2."""
+    parts = []
+    for bit in range(8):
+        third = subtrees(keys, n, bit)[-1]
+        key, of = np.unique(_shorter(third.key), return_inverse=True)
+        parts.append((key, *(np.bincount(of, weights=w, minlength=len(key)) for w in (third.a, third.b, third.log_w))))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+class Second(NamedTuple):
+    """The nodes of two bytes, sorted by key, and the mixture at each."""
 
+    key: np.ndarray
+    mixture: Mixture
 
-class Subtrees:
-    """All nodes of depths 2 to 5 over the given strings, weighted from below."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray):
-        self.keys = keys
-        self.levels: dict[tuple[int, int], Level] = {}
-        for d in range(DEPTH, 1, -1):
-            kinds, of = np.unique(((keys >> _SHIFT[d]) << _B8) | (keys & _LOW), return_inverse=True)
-            count, symbol = np.bincount(of, weights=n, minlength=len(kinds)), kinds & _LOW
-            for bit in range(8):
-                key = (kinds & ~_LOW) | np.uint64(1 << bit) | (symbol >> np.uint64(8 - bit))
-                new = np.ones(len(key), bool)
-                new[1:] = key[1:] != key[:-1]
-                at, nodes = np.cumsum(new) - 1, key[new]
-                one = (symbol >> np.uint64(7 - bit)) & np.uint64(1) == 1
-                a = np.bincount(at, weights=np.where(one, 0, count), minlength=len(nodes))
-                b = np.bincount(at, weights=np.where(one, count, 0), minlength=len(nodes))
-                kt = log_kt(a, b)
-                if d == DEPTH:
-                    log_w, own = kt, np.ones(len(nodes))
-                else:
-                    below = self.levels[d + 1, bit]
-                    parent = np.searchsorted(nodes, ((below.key >> _B16) << _B8) | (below.key & _LOW))
-                    log_w, own = weigh(kt, np.bincount(parent, weights=below.log_w, minlength=len(nodes)))
-                self.levels[d, bit] = Level(nodes, a, b, at[of], log_w, own)
-
-    def top(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(key, a, b, ln weighted probability) of the nodes of depth 2."""
-        return tuple(np.concatenate([getattr(self.levels[2, bit], x) for bit in range(8)]) for x in ("key", "a", "b", "log_w"))
-
-    def log10(self, crown: Crown) -> np.ndarray:
-        """log10 probability of each string's last byte after the five before it."""
-        symbol, nearest = (self.keys & _LOW).astype(np.int64), (self.keys >> _SHIFT[1]).astype(np.int64)
-        out = np.zeros(len(self.keys))
-        for bit in range(8):
-            one = (symbol >> (7 - bit)) & 1 == 1
-            node = (1 << bit) | (symbol >> (8 - bit))
-            p = np.full(len(self.keys), np.nan)
-
-            def blend(a: np.ndarray, b: np.ndarray, own: np.ndarray, p: np.ndarray, one=one) -> np.ndarray:
-                seen = a + b
-                kt = (np.where(one, b, a) + 0.5) / (seen + 1)
-                return np.where(seen > 0, np.where(np.isnan(p), kt, own * kt + (1 - own) * p), p)
-
-            for d in range(DEPTH, 1, -1):
-                x = self.levels[d, bit]
-                p = blend(x.a[x.of], x.b[x.of], x.own[x.of], p)
-            p = blend(crown.a1[nearest, node], crown.b1[nearest, node], crown.own1[nearest, node], p)
-            p = blend(crown.a0[node], crown.b0[node], crown.own0[node], p)
-            out += np.log10(np.where(np.isnan(p), 0.5, p))
-        return out
+    def of(self, key: np.ndarray) -> Mixture:
+        return self.mixture.at(np.searchsorted(self.key, key))
+
+
+def log10_of(keys: np.ndarray, n: np.ndarray, second: Second) -> np.ndarray:
+    """log10 probability of each sorted string's last byte after the five before it."""
+    out = np.zeros(len(keys))
+    for bit in range(8):
+        levels = subtrees(keys, n, bit)
+        mixture = second.of(_shorter(levels[-1].key))
+        for level in levels[::-1]:
+            mixture = level.mixed(mixture).at(level.of)
+        one = (keys & _LOW) >> np.uint64(7 - bit) & np.uint64(1) == 1
+        out += np.log10(np.where(one, mixture.ends, 1 - mixture.ends))
+    return out
 
 
 class Crown(NamedTuple):
@@ -243,41 +284,88 @@ def crown(key: np.ndarray, a: np.ndarray, b: np.ndarray, children: np.ndarray) -
     return Crown(a1, b1, own1, a0, b0, own0)
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    table = list(batches)
-    if not table:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    key = np.concatenate([b.column(0).to_numpy() for b in table]).view(np.uint64)
-    return key, np.concatenate([b.column(1).to_numpy() for b in table])
+def second(key: np.ndarray, a: np.ndarray, b: np.ndarray, own: np.ndarray, above: Crown) -> Second:
+    """The nodes of depth 2 mixed with the two depths above."""
+    near, node = (key >> _B16).astype(np.int64), (key & _LOW).astype(np.int64)
+    p = Mixture(np.zeros(len(key)), np.ones(len(key)), np.full(len(key), 0.5))
+    for zeros, ones, w in ((above.a0[node], above.b0[node], above.own0[node]), (above.a1[near, node], above.b1[near, node], above.own1[near, node]), (a, b, own)):
+        p = Level(key, zeros, ones, w, w, w).mixed(p)
+    return Second(key, p)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], columns: int = 2) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted (key, n...) in pieces of whole subtrees below three bytes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        held.append([batch.column(0).to_numpy().view(np.uint64), *(batch.column(c).to_numpy(zero_copy_only=False) for c in range(1, columns))])
+        if sum(len(x[0]) for x in held) < CHUNK:
+            continue
+        whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+        tree = whole[0] >> _B24
+        cut = int(np.searchsorted(tree, tree[-1]))
+        if cut:
+            yield [x[:cut] for x in whole]
+        held = [[x[cut:] for x in whole]]
+    if sum(len(x[0]) for x in held):
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, n = _whole(batches)
-    if len(key):
-        k, a, b, w = Subtrees(key, n).top()
+    for key, n in _chunks(batches):
+        k, a, b, w = tops(key, n)
         yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(a), pa.array(b), pa.array(w)], names=["key", "a", "b", "w"])
 
 
-def _scored(above: Crown):
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, w = (batch.column(c).to_numpy() for c in (1, 2, 3))
+        log_w, own = weigh(log_kt(a, b), w)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(log_w), pa.array(own)], names=["key", "a", "b", "log_w", "own"])
+
+
+def _scored(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n in _chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(log10_of(key, n, sent.value))], names=["key", "n", "value"])
+
+    return run
+
+
+def _scored_with(above: Crown):
+    """As _scored, for strings that come with the eight nodes of depth 2 above them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = _whole(batches)
-        if len(key):
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(Subtrees(key, n).log10(above))], names=["key", "n", "value"])
+        for key, n, nodes in _chunks(batches, 3):
+            rows = np.array([[tuple(x.values()) for x in r] for r in nodes], float).reshape(-1, 4)
+            at, first = np.unique(rows[:, 0].astype(np.uint64), return_index=True)
+            known = second(at, *(rows[first, c] for c in (1, 2, 3)), above)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(log10_of(key, n, known))], names=["key", "n", "value"])
 
     return run
 
 
-def string_table(counts: DataFrame, per_task: int = 1_000_000) -> DataFrame:
+def string_table(counts: DataFrame, per_task: int = 1_000_000, most_second: int = MOST_SECOND) -> DataFrame:
     """(key, n, value): log10 probability of each string of (key, n)."""
     spark = counts.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), counts.count() // per_task)
-    subtrees = counts.select("key", "n").repartition(parts, F.shiftright("key", 32))
-    tops = subtrees.mapInArrow(_tops, "key long, a double, b double, w double")
-    nearest = (F.shiftright("key", 16).bitwiseAND(255) * 256 + F.col("key").bitwiseAND(255)).alias("key")
-    sums = tops.select(nearest, "a", "b", "w").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")).collect()
-    column = lambda c, kind: np.array([r[c] for r in sums], kind)
-    above = crown(column("key", np.int64), column("a", float), column("b", float), column("w", float))
-    return stage(subtrees.mapInArrow(_scored(above), "key long, n long, value double"), "ctw-strings")
+    spread = lambda df: df.repartition(parts, F.shiftright("key", 24)).sortWithinPartitions("key")
+    sums = spread(counts.select("key", "n")).mapInArrow(_tops, "key long, a double, b double, w double").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w"))
+    nodes = stage(sums.mapInArrow(_weighed, "key long, a double, b double, log_w double, own double"), "ctw-second")
+    nearest = (F.shiftright("key", 16) * 256 + F.col("key").bitwiseAND(255)).alias("key")
+    got = nodes.select(nearest, "a", "b", "log_w").groupBy("key").agg(F.sum("a"), F.sum("b"), F.sum("log_w")).collect()  # 65,280 at most
+    above = crown(np.array([r[0] for r in got], np.int64), *(np.array([r[c] for r in got], float) for c in (1, 2, 3)))
+    if nodes.count() <= most_second:
+        table = nodes.select("key", "a", "b", "own").orderBy("key").toArrow()
+        key, a, b, own = (table.column(c).to_numpy() for c in range(4))
+        sent = spark.sparkContext.broadcast(second(key.view(np.uint64), a, b, own, above))
+        scored = spread(counts.select("key", "n")).mapInArrow(_scored(sent), "key long, n long, value double")
+    else:
+        eight = F.array(*[F.shiftright("key", 32) * 256 + (1 << bit) + F.shiftright(F.col("key").bitwiseAND(255), 8 - bit) for bit in range(8)])
+        wanted = counts.select("key", "n", F.explode(eight).alias("node"))
+        met = wanted.join(nodes.select(F.col("key").alias("node"), "a", "b", "own"), "node").groupBy("key", "n").agg(F.collect_list(F.struct(F.col("node").cast("double").alias("node"), "a", "b", "own")).alias("nodes"))
+        scored = spread(met.select("key", "n", "nodes")).mapInArrow(_scored_with(above), "key long, n long, value double")
+    out = stage(scored, "ctw-strings")
+    unstage(nodes)
+    return out
 
 
 # ---- scoring ---------------------------------------------------------------------------------------------------------
@@ -324,15 +412,16 @@ def _scorer(sent, id_type: pa.DataType):
                 ends = np.arange(n)
                 token = np.concatenate([words.hash, np.full(n, END_KEY, np.uint64)])
                 of = np.concatenate([words.doc, ends])
+                n_bytes = np.bincount(doc, minlength=n)
                 base_value, base_found = _look_up(token, hot_words)
                 base = np.bincount(of, weights=base_value, minlength=n)
                 known = np.bincount(of, weights=base_found & (base_value > unseen), minlength=n).astype(np.int64)
                 rest = np.flatnonzero(~base_found)
                 rest = rest[np.argsort(of[rest], kind="stable")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).cast(id_type), pa.array(np.diff(words.first) + 1), pa.array(known), pa.array(base), pa.array(score),
+                    [batch.column(0).cast(id_type), pa.array(np.diff(words.first) + 1), pa.array(n_bytes), pa.array(known), pa.array(base), pa.array(score),
                      lists(token[rest], of[rest], n), lists(key[~found], doc[~found], n)],
-                    names=["id", "n_tokens", "n_known", "base", "score", "words", "strings"])
+                    names=["id", "n_tokens", "n_bytes", "n_known", "base", "score", "words", "strings"])
 
     return run
 
@@ -345,7 +434,7 @@ def _joined(rows: DataFrame, column: str, table: DataFrame, value: str) -> DataF
 
 
 def score(docs: DataFrame, most_hot: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
-    """A row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """A row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (the text's code length).
 
     Learns from documents whose crc32(id as text) mod folds is not 0; scores all.
     """
@@ -363,11 +452,12 @@ def score(docs: DataFrame, most_hot: int = 1 << 21, id_col: str = "doc_id", text
     sent = spark.sparkContext.broadcast((_hot(table, most_hot), _hot(words, most_hot // 2), float(np.log10(0.5) - below)))
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = texts.schema["id"].dataType
-    rows = texts.mapInArrow(_scorer(sent, to_arrow_type(kind)), f"id {kind.simpleString()}, n_tokens long, n_known long, base double, score double, words array<long>, strings array<long>")
+    rows = texts.mapInArrow(_scorer(sent, to_arrow_type(kind)), f"id {kind.simpleString()}, n_tokens long, n_bytes long, n_known long, base double, score double, words array<long>, strings array<long>")
     rows = stage(rows.withColumn("uid", F.monotonically_increasing_id()), "ctw-rows")
     more_words = _joined(rows, "words", words, "more_base")
     more_strings = _joined(rows, "strings", table, "more_score")
     out = rows.drop("words", "strings").join(more_words, "uid", "left").join(more_strings, "uid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select("id", (fold(F.col("id")) % folds == 0).alias("held_out"), "n_tokens", (F.col("n_known") + zero("more_base_known")).cast("long").alias("n_known"),
-                      F.lit(int(total[0])).cast("long").alias("train_tokens"), (F.col("base") + zero("more_base")).alias("base_score"), (F.col("score") + zero("more_score")).alias("score"))
+                      F.lit(int(total[0])).cast("long").alias("train_tokens"), (F.col("base") + zero("more_base")).alias("base_score"), (F.col("score") + zero("more_score")).alias("score"),
+                      ((F.col("score") + zero("more_score")) * float(-np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
