@@ -161,8 +161,8 @@ def _log_gamma_of_counts(n: np.ndarray, offset: float) -> np.ndarray:
     """ln gamma(n + offset) of whole numbers; small ones are looked up."""
     table = _gammas(offset)
     out = table[np.minimum(n, len(table) - 1).astype(np.int64)]
-    large = np.flatnonzero(n >= len(table))
-    if len(large):
+    large = n >= len(table)
+    if large.any():
         out[large] = log_gamma(n[large] + offset)
     return out
 
