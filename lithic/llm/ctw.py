@@ -370,8 +370,40 @@ def string_table(counts: DataFrame, per_task: int = 1_000_000, most_second: int
 
 # ---- scoring ---------------------------------------------------------------------------------------------------------
 
-def _hot(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order and values of the entries from some count on: at most `most`, by the counts' powers of two."""
+class Hot(NamedTuple):
+    """A look-up of bounded size: keys in the order of their hash, and where those of each leading bit pattern begin."""
+
+    hash: np.ndarray
+    value: np.ndarray
+    begin: np.ndarray
+    shift: int
+
+    @staticmethod
+    def of(key: np.ndarray, value: np.ndarray) -> Hot:
+        hashed = mix(key)
+        order = np.argsort(hashed)
+        bits = max(1, int(len(key)).bit_length())
+        begin = np.searchsorted(hashed[order] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        return Hot(hashed[order], value[order], begin, 64 - bits)
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value or 0, found)."""
+        value, found = np.zeros(len(keys)), np.zeros(len(keys), bool)
+        hashed = mix(keys)
+        place = (hashed >> np.uint64(self.shift)).astype(np.int64)
+        at, end = self.begin[place], self.begin[place + 1]
+        left = np.flatnonzero(at < end)
+        at, end, hashed = at[left], end[left], hashed[left]
+        while len(left):
+            hit = self.hash[at] == hashed
+            value[left[hit]], found[left[hit]] = self.value[at[hit]], True
+            more = ~hit & (at + 1 < end)
+            left, at, end, hashed = left[more], at[more] + 1, end[more], hashed[more]
+        return value, found
+
+
+def _hot(table: DataFrame, most: int) -> Hot:
+    """The entries from some count on: at most `most`, by the counts' powers of two."""
     by_size = {r["k"]: r["m"] for r in table.groupBy(F.when(F.col("n") < 1, -1).otherwise(F.floor(F.log2(F.col("n").cast("double")))).cast("int").alias("k")).agg(F.count("*").alias("m")).collect()}
     total, least = 0, 64
     while least >= 0 and total + by_size.get(least - 1, 0) <= most:
@@ -379,21 +411,8 @@ def _hot(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
         total += by_size.get(least, 0)
     got = table.where(F.col("n") >= (2**least if least >= 0 else 0)).select("key", "value").toArrow() if least < 63 else None
     if got is None or not got.num_rows:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    key, value = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
-    order = np.argsort(key)
-    return key[order], value[order]
-
-
-def _look_up(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(value or 0, found)."""
-    known, value = table
-    if not len(known):
-        return np.zeros(len(keys)), np.zeros(len(keys), bool)
-    at = np.searchsorted(known, keys)
-    at[at == len(known)] = 0
-    found = known[at] == keys
-    return np.where(found, value[at], 0.0), found
+        return Hot.of(np.zeros(0, np.uint64), np.zeros(0))
+    return Hot.of(got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy())
 
 
 def _scorer(sent, id_type: pa.DataType):
@@ -407,13 +426,13 @@ def _scorer(sent, id_type: pa.DataType):
                 n = batch.num_rows
                 words = split_words(batch.column(1))
                 key, doc = strings(words)
-                value, found = _look_up(key, hot_strings)
+                value, found = hot_strings.look_up(key)
                 score = np.bincount(doc, weights=value, minlength=n)
                 ends = np.arange(n)
                 token = np.concatenate([words.hash, np.full(n, END_KEY, np.uint64)])
                 of = np.concatenate([words.doc, ends])
                 n_bytes = np.bincount(doc, minlength=n)
-                base_value, base_found = _look_up(token, hot_words)
+                base_value, base_found = hot_words.look_up(token)
                 base = np.bincount(of, weights=base_value, minlength=n)
                 known = np.bincount(of, weights=base_found & (base_value > unseen), minlength=n).astype(np.int64)
                 rest = np.flatnonzero(~base_found)
