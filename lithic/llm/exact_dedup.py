@@ -42,50 +42,78 @@ def grouped(rows: DataFrame) -> DataFrame:
         "digest", F.col("best.id").alias("keep_id"), F.col("best.uid").alias("keep_uid"), (-F.col("best.neg")).alias("keep_points"), "n_rows")
 
 
+#: Digests that a bucket of a new index is meant to hold, and the least and most buckets.
+PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000, 64, 1 << 16
+
+
 class DigestIndex:
-    """A table of the catalog with one row per known digest: digest, keep_id, keep_points, n_rows, batch."""
+    """A table of the catalog, bucketed and sorted by digest: digest, keep_id, keep_points, n_rows, batch, fresh.
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 64):
+    Rows are only ever appended: one per digest that a batch brings, which is fresh where no earlier batch held it. A batch is
+    known by its name: one that is added again, after a crash before its result was used, gets the same result and is
+    recorded once. The number of buckets is chosen by the first batch, unless it is given.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
         self.spark, self.name, self.buckets = spark, name, buckets
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
-    def read(self) -> DataFrame:
+    def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def read(self) -> DataFrame:
+        """(digest, keep_id, keep_points, n_rows): one row per known digest, n_rows over all batches; a bucket is read by itself."""
+        return _known(self.rows())
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
-    def _append(self, new: DataFrame) -> None:
-        (new.repartition(self.buckets, "digest").write.mode("append").format("parquet")
-         .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
+    def _count_buckets(self, groups: DataFrame) -> int:
+        if self.exists():
+            held = self.spark.sql(f"DESCRIBE EXTENDED {self.name}").where("col_name = 'Num Buckets'").first()
+            return int(held["data_type"])
+        return self.buckets or min(max(LEAST_BUCKETS, 1 << (groups.count() // PER_BUCKET).bit_length()), MOST_BUCKETS)
+
+    def _append(self, new: DataFrame, buckets: int) -> None:
+        (new.repartition(buckets, "digest").write.mode("append").format("parquet")
+         .bucketBy(buckets, "digest").sortBy("digest").saveAsTable(self.name))
 
     def add(self, rows: DataFrame, batch: str = "0") -> DataFrame:
         """Adds a batch of digests() rows and returns a decision per digest of the batch.
 
         (digest, keep_id, keep_uid, group_size): keep_uid is null where an earlier batch already holds the text; group_size
-        counts the batch's rows and those that the index held.
+        counts the batch's rows and those of all earlier batches.
         """
         groups = stage(grouped(rows), "exact-groups")
+        buckets = self._count_buckets(groups)
+        columns = ["digest", "keep_id", "keep_points", "n_rows", F.lit(batch).alias("batch")]
         # An index that isn't there yet holds nothing: its first batch is anti-joined with no rows.
         if not self.exists():
-            self._append(groups.limit(0).select("digest", "keep_id", "keep_points", "n_rows", F.lit(batch).alias("batch")))
-        known = self.read()
-        keyed = groups.repartition(self.buckets, "digest")
-        new = keyed.join(known.select("digest").hint("merge"), "digest", "left_anti")
+            self._append(groups.limit(0).select(*columns, F.lit(True).alias("fresh")), buckets)
+        before = self.rows().where(F.col("batch") != batch)
+        keyed = groups.repartition(buckets, "digest")
+        new = keyed.join(before.where("fresh").select("digest").hint("merge"), "digest", "left_anti")
         # Old digests are looked up before the append, so that the append can't be read half done.
-        old = keyed.join(known.select("digest", F.col("keep_id").alias("old_id"), F.col("n_rows").alias("old_rows")).hint("merge"), "digest")
+        known = _known(before).select("digest", F.col("keep_id").alias("old_id"), F.col("n_rows").alias("old_rows"))
+        old = keyed.join(known.hint("merge"), "digest")
         decided = stage(
             new.select("digest", "keep_id", "keep_uid", "keep_points", "n_rows", F.col("n_rows").alias("group_size"), F.lit(True).alias("fresh"))
             .unionByName(old.select("digest", F.col("old_id").alias("keep_id"), F.lit(None).cast("long").alias("keep_uid"), "keep_points", "n_rows",
                                     (F.col("n_rows") + F.col("old_rows")).alias("group_size"), F.lit(False).alias("fresh"))),
             "exact-decided")
-        self._append(decided.where("fresh").select("digest", "keep_id", "keep_points", "n_rows", F.lit(batch).alias("batch")))
+        if self.rows().where(F.col("batch") == batch).isEmpty():
+            self._append(decided.select(*columns, "fresh"), buckets)
         unstage(groups)
         return decided
 
 
+def _known(rows: DataFrame) -> DataFrame:
+    first = lambda c: F.max(F.when(F.col("fresh"), F.col(c))).alias(c)
+    return rows.groupBy("digest").agg(first("keep_id"), first("keep_points"), F.sum("n_rows").alias("n_rows"))
+
+
 def dedup_rows(index: DigestIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str = "0") -> DataFrame:
     """A row per document of the batch: id, keep_id, group_size, kept, digest."""
     rows = stage(digests(docs, id_col, text_col), "exact-rows")
