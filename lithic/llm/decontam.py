@@ -3,8 +3,11 @@
 Symbols are words (letters and digits, A-Z lower-cased), edits are edits of words, and an item of W words is found where a
 window of the document turns into it by at most floor(max_edits * W) edits. Windows of item size are embedded by CGK
 random walks: at each step a walk writes the symbol under its pointer and then, by a random bit of step and symbol,
-advances or stays, so that a few edits change few of the written symbols. Each table samples some steps of a walk; a window
-that agrees with the item in any table is a candidate, and the exact edit distance decides.
+advances or stays, so that a few edits change few of the written symbols. Each table is keyed by some sampled steps of a
+walk and holds all items of a width; a window is embedded once, looked up in every table of its width, and meets the items
+that it finds there, whichever they are; the exact edit distance decides. Steps are sampled where a walk hardly ever writes
+its padding, so that unlike windows find nothing: by measurement (tests) windows at the edit limit are found with a
+probability above 0.99, and none of random ones are.
 
 Which windows are embedded: by the pigeonhole principle W - e words that no edit touches lie in at most e + 1 runs, so a
 window within e edits shares a run of ceil((W - e) / (e + 1)) words with the item. All windows around such a run are
@@ -41,6 +44,8 @@ from lithic.llm.words import NOT_ALPHANUMERIC, Words, by_bytes, mix, split_words
 _WALK, _GRAM, _KEY = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03))
 #: Items are sent to the tasks in blocks of so many bytes of text at most (or one longer item).
 BLOCK_BYTES = 4 << 20
+#: Windows are embedded so many words at a time.
+WINDOW_WORDS = 250_000
 #: A bitmap of so many bits answers most look-ups of runs.
 _BITS = 22
 _END = np.uint64(0)
@@ -49,13 +54,14 @@ _SPACELESS = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u
 
 
 class Params(NamedTuple):
-    """walks x tables samples of `sample` steps each; at 20 % random edits they find a window with probability above 0.99."""
+    """walks x tables samples of `sample` steps each, of the first `reach` x width steps."""
 
     max_edits: float = 0.2
     min_words: int = 5
     walks: int = 16
-    tables: int = 24
-    sample: int = 2
+    tables: int = 20
+    sample: int = 4
+    reach: float = 1.2
     seed: int = 1
 
 
@@ -91,27 +97,50 @@ def embed(symbols: np.ndarray, walk: int, seed: int, steps: int) -> np.ndarray:
     return out
 
 
+def _steps(width: int, p: Params) -> int:
+    return max(1, int(p.reach * width))
+
+
 @lru_cache(maxsize=64)
 def _sampled(width: int, p: Params) -> np.ndarray:
-    """walks x tables x sample steps, among the 2 x width in which a walk crosses most of a string."""
+    """walks x tables x sample steps."""
     rng = np.random.default_rng([p.seed, width])
-    return rng.integers(0, 2 * width, (p.walks, p.tables, p.sample))
+    return rng.integers(0, _steps(width, p), (p.walks, p.tables, p.sample))
 
 
-def agree(windows: np.ndarray, item: np.ndarray, p: Params) -> np.ndarray:
-    """Which of n windows of the item's size meet the item in a bucket of any table."""
-    width = len(item)
-    found = np.zeros(len(windows), bool)
-    steps = _sampled(width, p)
+def table_keys(symbols: np.ndarray, walk: int, p: Params) -> np.ndarray:
+    """n x tables: the keys of n strings of one width in the tables of a walk; keys of different tables differ."""
+    width = symbols.shape[1]
     factor = mix(np.arange(1, p.sample + 1, dtype=np.uint64) * _KEY) | np.uint64(1)
-    for walk in range(p.walks):
-        left = np.flatnonzero(~found)
-        if not len(left):
-            break
-        written = embed(np.concatenate([item[None, :], windows[left]]), walk, p.seed, 2 * width)
-        keys = (written[:, steps[walk]] * factor).sum(axis=2)
-        found[left] |= (keys[1:] == keys[:1]).any(axis=1)
-    return found
+    written = embed(symbols, walk, p.seed, _steps(width, p))
+    return mix((written[:, _sampled(width, p)[walk]] * factor).sum(axis=2) + np.arange(walk * p.tables, (walk + 1) * p.tables, dtype=np.uint64) * _GRAM)
+
+
+class Tables:
+    """All tables of one width: the keys of its items, sorted, and whose they are."""
+
+    def __init__(self, items: np.ndarray, numbers: np.ndarray, p: Params):
+        self.p = p
+        keys = np.concatenate([table_keys(items, walk, p).ravel() for walk in range(p.walks)])
+        of = np.tile(np.repeat(numbers, p.tables), p.walks)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.of = keys[order], of[order]
+        self.bitmap = np.zeros(1 << _BITS, bool)
+        self.bitmap[keys >> np.uint64(64 - _BITS)] = True
+
+    def meet(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs that share a key in any table, each once."""
+        found = [np.zeros((0, 2), np.int64)]
+        for walk in range(self.p.walks):
+            keys = table_keys(windows, walk, self.p)
+            row, table = np.nonzero(self.bitmap[keys >> np.uint64(64 - _BITS)])
+            k = keys[row, table]
+            low = np.searchsorted(self.keys, k, "left")
+            many = np.searchsorted(self.keys, k, "right") - low
+            at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            found.append(np.unique(np.stack([np.repeat(row, many), self.of[at]], axis=1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pairs[:, 0], pairs[:, 1]
 
 
 def edit_distance(windows: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,9 +199,13 @@ class Block:
             bitmap[grams >> np.uint64(64 - _BITS)] = True
             self.runs[run] = (grams, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), bitmap)
         self.p = p
+        self.tables = {}
+        for width in {len(i.words) for i in self.items}:
+            mine = np.array([k for k, i in enumerate(self.items) if len(i.words) == width])
+            self.tables[width] = Tables(np.stack([self.items[k].words for k in mine]), mine, p)
 
     def starts(self, words: Words) -> dict[int, np.ndarray]:
-        """For each item, the word places at which windows around shared runs start."""
+        """For each width, the word places at which windows around runs shared with an item of that width start."""
         out: dict[int, list[np.ndarray]] = {}
         for run, (grams, item, place, bitmap) in self.runs.items():
             h = _grams(words.hash, run)
@@ -191,29 +224,29 @@ class Block:
                 spread = (pairs[:, 1, None] + np.arange(-e, e + 1)).ravel()
                 docs = np.repeat(pairs[:, 0], 2 * e + 1)
                 inside = (spread >= words.first[docs]) & (spread < words.first[docs + 1])
-                out.setdefault(int(k), []).append(np.unique(spread[inside]))
+                out.setdefault(len(self.items[k].words), []).append(np.unique(spread[inside]))
         return {k: np.unique(np.concatenate(v)) for k, v in out.items()}
 
     def find(self, words: Words) -> list[tuple[int, object, int, int, int]]:
         """(text, item id, start byte, end byte, edits) of each item found in each text, at its best place."""
         out = []
         padded = np.concatenate([words.hash, np.zeros(1, np.uint64)])
-        for k, starts in self.starts(words).items():
-            item = self.items[k]
-            width, last = len(item.words), words.first[words.doc[starts] + 1]
-            for at in range(0, len(starts), 20_000):
-                s, end = starts[at:at + 20_000], last[at:at + 20_000]
-                places = s[:, None] + np.arange(width + item.edits)
+        for width, starts in self.starts(words).items():
+            last, most = words.first[words.doc[starts] + 1], max(self.items[k].edits for k in self.tables[width].of)
+            at_once = max(1, WINDOW_WORDS // (width + most))
+            for at in range(0, len(starts), at_once):
+                s, end = starts[at:at + at_once], last[at:at + at_once]
+                places = s[:, None] + np.arange(width + most)
                 texts = np.where(places < end[:, None], padded[np.minimum(places, len(words.hash))], _END)
-                met = np.flatnonzero(agree(np.ascontiguousarray(texts[:, :width]), item.words, self.p))
-                if not len(met):
-                    continue
-                edits, length = edit_distance(texts[met], item.words)
-                for j in np.flatnonzero(edits <= item.edits):
-                    first = s[met[j]]
-                    to = min(first + max(length[j], 1), end[met[j]]) - 1
-                    base = words.doc_start[words.doc[first]]
-                    out.append((int(words.doc[first]), item.id, int(words.start[first] - base), int(words.end[to] - base), int(edits[j])))
+                window, number = self.tables[width].meet(np.ascontiguousarray(texts[:, :width]))
+                for k in np.unique(number):
+                    item, met = self.items[k], window[number == k]
+                    edits, length = edit_distance(texts[met, :width + item.edits], item.words)
+                    for j in np.flatnonzero(edits <= item.edits):
+                        first = s[met[j]]
+                        to = min(first + max(length[j], 1), end[met[j]]) - 1
+                        base = words.doc_start[words.doc[first]]
+                        out.append((int(words.doc[first]), item.id, int(words.start[first] - base), int(words.end[to] - base), int(edits[j])))
         best: dict[tuple[int, object], tuple] = {}
         for row in out:
             key = (row[0], row[1])
