@@ -6,7 +6,7 @@ all documents, by a beta prior whose strength is estimated from how much the gro
 moved by those of its path over the global ones, times `site_share`.
 
 Bounds: the regression is fitted on at most `sample` labelled rows of the training fold (crc32 of the id mod 5 is not 0),
-chosen by a hash of their id.
+chosen by a hash of their id; of rows that repeat an id one counts, chosen by a hash of its text.
 
 Defined results: null or empty text has all statistics zero; null host or path count as empty; ids may be null or repeat,
 each row is scored; null labels are passed over, of several labels of an id the lowest counts; an empty table gives no
@@ -97,6 +97,18 @@ def _strength(groups: DataFrame, mean: float, o: Options) -> float:
     return min(max(within / between - 1, o.least_strength), o.most_strength) if between > 0 else o.most_strength
 
 
+def with_sites(docs: DataFrame, pages: DataFrame, id_col: str = "doc_id", page_id_col: str = "page_id", url_col: str = "url", other_host: str = "source") -> DataFrame:
+    """docs with __lx_host and __lx_path: of the page with the document's id its URL's host and first path segment.
+
+    Of several pages of an id the least URL counts; a document without a page has other_host for a host, and no path.
+    """
+    urls = pages.where(F.col(page_id_col).isNotNull() & F.col(url_col).isNotNull()).groupBy(F.col(page_id_col).alias(OWN + "page")).agg(F.min(url_col).alias(OWN + "url"))
+    both = docs.join(urls, docs[id_col] == urls[OWN + "page"], "left")
+    host = F.lower(F.regexp_extract(OWN + "url", "^.*?://([^/?#]*)", 1))
+    path = F.regexp_extract(OWN + "url", "^.*?://[^/?#]*/*([^/?#]*)", 1)
+    return both.withColumns({OWN + "host": F.when(host != "", host).otherwise(F.coalesce(F.col(other_host).cast("string"), F.lit(""))), OWN + "path": F.coalesce(path, F.lit(""))}).drop(OWN + "page", OWN + "url")
+
+
 def quality(docs: DataFrame, labels: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text", host: str | Column = "source", path: str | Column = "lang",
             label_col: str = "quality") -> DataFrame:
     """A row per document: id, text_score (its own evidence), host_mean, path_mean, score (0 to 1), kept (score >= 0.5)."""
@@ -105,8 +117,9 @@ def quality(docs: DataFrame, labels: DataFrame, options: Options = Options(), id
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col)) % 5 != 0)).groupBy(F.col(id_col).alias(OWN + "id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
     learned = stage(usable, "quality-labels")
     sample = learned.orderBy(F.xxhash64(OWN + "id"), OWN + "id").limit(o.sample)
-    rows = docs.join(F.broadcast(sample), docs[id_col] == sample[OWN + "id"]).select(text_or_empty(text_col).alias("text"), "y")
-    got = rows.mapInArrow(_features, "y int, x array<double>").collect()  # at most `sample` ids
+    rows = docs.join(F.broadcast(sample), docs[id_col] == sample[OWN + "id"]).select(OWN + "id", text_or_empty(text_col).alias("text"), "y")
+    rows = rows.groupBy(OWN + "id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("r")).select("r.text", "r.y")
+    got = rows.mapInArrow(_features, "y int, x array<double>").collect()  # at most `sample` rows
     y = np.array([r["y"] for r in got], float)
     prior = (y.sum() + 1) / (len(y) + 2)
     beta = None

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.llm import ctw, decontam, exact_dedup, line_dedup, near_dedup, packing, quality, token_counts, toxicity, url_filter
-from lithic.llm.common import fold, table
+from lithic.llm.common import OWN, fold, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,8 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = quality.with_sites(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+    out = quality.quality(docs, table(spark, sf_dir, "labels"), host=OWN + "host", path=OWN + "path")
     return out.select(F.col("id").alias("doc_id"), (fold(F.col("id")) % 5 == 0).alias("held_out"), "text_score", "host_mean", "path_mean", "score",
                       F.col("kept").cast("int").alias("predicted"), "kept")
 
