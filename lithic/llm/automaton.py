@@ -12,6 +12,10 @@ from typing import NamedTuple
 import numpy as np
 
 
+#: States kept between batches: a few hundred bytes each, and a row of the table.
+MOST_STATES = 50_000
+
+
 class Term(NamedTuple):
     """A lexicon entry. stem: words that go on after it count too. edits: inserted, dropped or changed letters allowed."""
 
@@ -93,8 +97,14 @@ class Lexicon:
             self._accepts(n)
         return self.numbers[key]
 
+    def _forget(self) -> None:
+        """Drops the states worked out so far once they are many; texts work them out again."""
+        if len(self.sets) > MOST_STATES:
+            self.__init__(self.terms)
+
     def match(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, term, edits) of the words points[start:end] that are a term, or begin with a stem, within its edits."""
+        self._forget()
         n = len(start)
         best = np.full((n, 2), -1, np.int32)
         word, state, at = np.arange(n), np.full(n, self.START, np.int32), start.copy()

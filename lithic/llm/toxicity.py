@@ -5,8 +5,8 @@ with Levenshtein automata, finds terms in every word of every text, misspelled o
 words: within quotation marks, or beside words of reporting, it counts as quotation, else as abuse. A logistic regression
 on a document's sums gives the score. Labels are used in learning only; a score depends on the text alone.
 
-Bounds: learning takes at most `sample` labelled rows of the training fold, chosen by a hash of their id; the lexicon keeps
-at most `size` terms. Near copies in the sample count once (one document per MinHash of its word shingles, twice over), so
+Bounds: learning takes at most `sample` labelled rows of the training fold, chosen by a hash of their id; of the terms of
+toxic rows at most `most_terms`, those of most rows, are weighed against clean ones; the lexicon keeps at most `size` terms. Near copies in the sample count once (one document per MinHash of its word shingles, twice over), so
 that a group of copies can't make its own words a lexicon.
 
 Defined results: null or empty texts have no hits and get the score of a text without hits; null ids are scored like any;
@@ -57,6 +57,7 @@ class Options(NamedTuple):
     least_share: float = 0.01
     dense_support: int = 3  # enough for a term that toxic documents repeat and clean ones lack
     least_log_odds: float = 2.5
+    most_terms: int = 200_000  # candidates that are sent to the tasks
 
 
 class Model(NamedTuple):
@@ -237,7 +238,8 @@ def learn(docs: DataFrame, labels: DataFrame, options: Options = Options(), id_c
     least = max(o.least_support, o.least_share * n_toxic)
     # Terms are gathered from toxic documents; clean ones are then searched for those that enough of them hold.
     toxic_terms = known.where("toxic = 1").mapInArrow(_term_counts, _COUNTED).groupBy("term").agg(F.sum("t").alias("t"), F.sum("times").alias("times")).where(F.col("t") >= min(o.dense_support, least))
-    wanted = stage(toxic_terms, "toxic-wanted")
+    # What so few toxic documents hold that clean ones can't decide on it isn't sent on; the most frequent terms are.
+    wanted = stage(toxic_terms.orderBy(F.desc("t"), "term").limit(o.most_terms), "toxic-wanted")
     clean_terms = known.where("toxic = 0").mapInArrow(_counter_of({r["term"] for r in wanted.select("term").collect()}), "term string, c long").groupBy("term").agg(F.sum("c").alias("c"))
     counted = wanted.join(clean_terms, "term", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     odds = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))

@@ -77,6 +77,19 @@ def test_exact(spark, docs, none):
     index.drop()
 
 
+def test_exact_batches(spark):
+    """Counts run over all batches; a batch that is added again gives the same and is recorded once."""
+    index = exact_dedup.DigestIndex(spark, "t_batches")
+    index.drop()
+    one = lambda k: spark.createDataFrame([(10 * k, "same text", "x"), (10 * k + 1, "sametext", "y"), (10 * k + 2, f"own {k}", "z")], "doc_id long, text string, digest string")
+    for k, size in ((0, 2), (1, 4), (2, 6), (2, 6)):
+        got = {r.id: r for r in exact_dedup.dedup_rows(index, one(k), batch=str(k)).collect()}
+        assert (got[10 * k].group_size, got[10 * k].keep_id, got[10 * k + 2].group_size, got[10 * k + 2].kept) == (size, 0, 1, True)
+        assert got[10 * k].kept == (k == 0)
+    assert {r.n_rows for r in index.read().collect()} == {6, 1} and index.read().count() == 4 and index.rows().count() == 6
+    index.drop()
+
+
 def tokenizer():
     import public_tokenizers
 
@@ -291,15 +304,51 @@ def test_edit_distance():
 
 
 def test_cgk_recall():
-    found = 0
-    for t in range(150):
-        r = np.random.default_rng(t)
-        item = words.mix(r.integers(1, 1 << 62, 30).astype(np.uint64))
-        x = list(item)
-        for i in r.choice(30, 6, replace=False):
-            x[i] = np.uint64(r.integers(1, 1 << 62))
-        found += decontam.agree(np.array([x], np.uint64), item, decontam.Params())[0]
-    assert found / 150 > 0.97
+    """Windows with a fifth of their words changed, inserted or left out are found; unlike windows hardly ever."""
+    for width in (5, 10, 30, 60):
+        r = np.random.default_rng(width)
+        items = words.mix(r.integers(1, 1 << 62, (100, width)).astype(np.uint64))
+        tables = decontam.Tables(items, np.arange(100), decontam.Params())
+        near = []
+        for item in items:
+            x = list(item)
+            for _ in range(width // 5):
+                i, kind, new = r.integers(0, len(x)), r.integers(0, 3), np.uint64(r.integers(1, 1 << 62))
+                x[i:i + 1] = [[new], [x[i], new], []][kind]
+            near.append((x + [np.uint64(v) for v in r.integers(1, 1 << 62, width)])[:width])
+        window, item = tables.meet(np.array(near, np.uint64))
+        assert (window == item).sum() >= 97 and len(window) <= 110
+        window, _ = tables.meet(words.mix(r.integers(1, 1 << 62, (300, width)).astype(np.uint64)))
+        assert len(window) <= 15
+
+
+def test_decontamination_against_all_windows(spark):
+    """Every window of every length within the edits, compared by plain edit distance."""
+    vocabulary = [f"v{i}" for i in range(12)]
+    r = np.random.default_rng(8)
+    items = [(k, " ".join(r.choice(vocabulary, 6 + 3 * k))) for k in range(4)] + [(9, "v1 v2 v3 v4 v5 v6 v7")] * 2
+    rows = []
+    for i in range(60):
+        text = list(r.choice(vocabulary, 40))
+        w = items[i % 4][1].split()
+        for _ in range(int(r.integers(0, 4))):
+            j = r.integers(0, len(w))
+            w[j:j + 1] = [["changed"], [w[j], "new"], []][r.integers(0, 3)]
+        rows.append((i, " ".join(text[:15] + w + text[15:])))
+    got = {x.id: {m["item"] for m in x.matches} for x in decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+    def least(item, doc):
+        row = [0] * (len(doc) + 1)  # a window may begin anywhere
+        for i, x in enumerate(item, 1):
+            new = [i]
+            for j, y in enumerate(doc, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row)
+
+    want = {i: {k for k, t in items if least(t.split(), text.split()) <= len(t.split()) // 5} for i, text in rows}
+    found = sum(len(got[i] & want[i]) for i in want)
+    assert all(got[i] <= want[i] for i in want) and found >= 0.99 * sum(map(len, want.values())) and sum(map(len, want.values())) > 30
 
 
 @given(st.text("abcx", min_size=0, max_size=7))
