@@ -15,6 +15,7 @@ a pair at 0.8 has a second key with probability 0.997; nothing else is left out,
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,12 +51,19 @@ def _differences(sketch: list[str]) -> Column:
     return count
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float, items: Callable[[Column], Column] | None = None) -> DataFrame:
     """The pairs whose sets' exact Jaccard similarity reaches the threshold, as links between their components."""
     a = sets.select(F.col("node").alias("u"), F.col("items").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("items").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "u").join(b, "v").where(both >= threshold * (F.size("a") + F.size("b") - both) - 1e-9).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    make = items or (lambda c: c)
+
+    def alike(x: Column) -> Column:
+        both = F.size(F.array_intersect(x["a"], x["b"]))
+        return both >= threshold * (F.size(x["a"]) + F.size(x["b"]) - both) - 1e-9
+
+    # As fields of a variable the sets are made once.
+    met = F.exists(F.array(F.struct(make(F.col("a")).alias("a"), make(F.col("b")).alias("b"))), alike)
+    return pairs.join(a, "u").join(b, "v").where(met).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
 
 
 def _merged(known: DataFrame | None, merges: DataFrame) -> DataFrame:
@@ -82,10 +90,11 @@ def _chosen(pivots: int) -> Column:
     return (F.xxhash64("node") == F.col("least")) | (F.col("n") <= pivots) | (share if pivots > 1 else F.lit(False))
 
 
-def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str] | None = None, registers: int = 0, split_over: int | None = None) -> DataFrame | None:
+def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str] | None = None, registers: int = 0, split_over: int | None = None,
+           items: Callable[[Column], Column] | None = None) -> DataFrame | None:
     """(node, component) of the nodes of cand (bucket, band, node, size, sketch...) that chains of similar nodes in common buckets connect.
 
-    None if nothing is linked.
+    sets has (node, items): arrays without repeats, or what `items` makes them of. None if nothing is linked.
     """
     sketch = sketch or []
     known, pivots, before, few = None, 1, 0, True
@@ -121,7 +130,7 @@ def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str]
             first = F.col("node") < F.col("other")
             pairs = still.join(chosen, ["bucket", "outside"]).where((F.col("c") != F.col("other_c")) & near).select(
                 F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), F.when(first, F.col("c")).otherwise(F.col("other_c")).alias("cu"), F.when(first, F.col("other_c")).otherwise(F.col("c")).alias("cv")).distinct()
-            found = stage(_similar(pairs, sets, threshold).distinct(), "link-found")
+            found = stage(_similar(pairs, sets, threshold, items).distinct(), "link-found")
             if not found.isEmpty():
                 old, known = known, _merged(known, components(found))
                 unstage(old)

@@ -569,6 +569,25 @@ def test_lines_with_repeats(spark):
     assert got == {i: [] if k == i else [0] for i, k in enumerate(of)}
 
 
+def test_lines_recall(spark):
+    """Of pairs with a similarity of 0.8 to 0.9, of all lengths, at least 0.95 are found (brute force: 1)."""
+    def sets(x):
+        return frozenset(x[i:i + 8] for i in range(max(1, len(x) - 7)))
+
+    pairs, r = [], np.random.default_rng(12)
+    while len(pairs) < 300:
+        base = " ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), r.integers(2, 9))) for _ in range(int(r.integers(3, 60))))
+        copy = list(base)
+        for _ in range(int(r.integers(1, 6))):
+            copy[r.integers(0, len(copy))] = "q"
+        copy = "".join(copy).strip()
+        if 0.8 <= jaccard(sets(base), sets(copy)) < 0.9:
+            pairs.append((base, copy))
+    df = spark.createDataFrame([(2 * k + j, t) for k, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
+    dropped = {x.id for x in line_dedup.line_decisions(df).collect() if x.dropped}
+    assert dropped <= {2 * k + 1 for k in range(300)} and len(dropped) >= 285
+
+
 def test_fold(spark):
     got = spark.createDataFrame([(5,), (None,)], "i long").select(fold(__import__("pyspark").sql.functions.col("i"))).collect()
     assert [r[0] for r in got] == [zlib.crc32(b"5"), 0]
