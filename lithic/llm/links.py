@@ -51,8 +51,11 @@ def _differences(sketch: list[str]) -> Column:
     return count
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float, items: Callable[[Column], Column] | None = None) -> DataFrame:
-    """The pairs whose sets' exact Jaccard similarity reaches the threshold, as links between their components."""
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float, items: Callable[[Column], Column] | None = None, rough: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The pairs whose sets' exact Jaccard similarity reaches the threshold, as links between their components.
+
+    rough makes a sample of a set: pairs whose samples' similarity is 4.2 standard deviations below it aren't looked at further.
+    """
     a = sets.select(F.col("node").alias("u"), F.col("items").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("items").alias("b"))
     make = items or (lambda c: c)
@@ -61,8 +64,13 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float, items: Callabl
         both = F.size(F.array_intersect(x["a"], x["b"]))
         return both >= threshold * (F.size(x["a"]) + F.size(x["b"]) - both) - 1e-9
 
+    def may_be(x: Column) -> Column:
+        both, any_ = F.size(F.array_intersect(x["a"], x["b"])), F.size(F.array_union(x["a"], x["b"]))
+        return both >= threshold * any_ - 4.2 * F.sqrt(threshold * (1 - threshold) * any_)
+
     # As fields of a variable the sets are made once.
-    met = F.exists(F.array(F.struct(make(F.col("a")).alias("a"), make(F.col("b")).alias("b"))), alike)
+    of = lambda f, test: F.exists(F.array(F.struct(f(F.col("a")).alias("a"), f(F.col("b")).alias("b"))), test)
+    met = of(make, alike) if rough is None else of(rough, may_be) & of(make, alike)
     return pairs.join(a, "u").join(b, "v").where(met).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
 
 
@@ -91,7 +99,7 @@ def _chosen(pivots: int) -> Column:
 
 
 def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str] | None = None, registers: int = 0, split_over: int | None = None,
-           items: Callable[[Column], Column] | None = None) -> DataFrame | None:
+           items: Callable[[Column], Column] | None = None, rough: Callable[[Column], Column] | None = None) -> DataFrame | None:
     """(node, component) of the nodes of cand (bucket, band, node, size, sketch...) that chains of similar nodes in common buckets connect.
 
     sets has (node, items): arrays without repeats, or what `items` makes them of. None if nothing is linked.
@@ -130,7 +138,7 @@ def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str]
             first = F.col("node") < F.col("other")
             pairs = still.join(chosen, ["bucket", "outside"]).where((F.col("c") != F.col("other_c")) & near).select(
                 F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), F.when(first, F.col("c")).otherwise(F.col("other_c")).alias("cu"), F.when(first, F.col("other_c")).otherwise(F.col("c")).alias("cv")).distinct()
-            found = stage(_similar(pairs, sets, threshold, items).distinct(), "link-found")
+            found = stage(_similar(pairs, sets, threshold, items, rough).distinct(), "link-found")
             if not found.isEmpty():
                 old, known = known, _merged(known, components(found))
                 unstage(old)
