@@ -9,8 +9,8 @@ leading bits of the hashes divide them into eight bands; a band's key is its lea
 share a key are compared with pivots instead of all pairs: by their shingles that begin with a word, whose similarity may
 lie 4.2 standard deviations below the threshold, and then by the exact Jaccard similarity of all their shingles. Links are joined to components by distributed union-find. Of a component the first line stays, by document id and place.
 
-Eight bands of three rows find a pair whose subsets have similarity s with probability 1 - (1 - s^3)^8, 0.997 at 0.8; lines
-of fewer than sixteen shingles have four bands of two rows, 0.983 at 0.8. A test measures the recall against brute force.
+Eight bands of three rows find a pair whose subsets have similarity s with probability 1 - (1 - s^3)^8, 0.997 at 0.8; sets
+of fewer than sixteen have rows of two and fewer, overlapping bands. A test measures the recall against brute force.
 
 Defined results: null text has no lines; blank lines belong to the layout and always stay; lines of less than eight
 characters are alike only if equal, and lines of one repeated character from eight on are alike at any length; a
@@ -36,10 +36,10 @@ WHITE_SPACE = " \t\n\x0b\x0c\r"
 class Options(NamedTuple):
     shingle: int = 8
     threshold: float = 0.8
-    enough_words: int = 12  # shingles at words from which they make a signature
-    border: int = 24  # and below which all shingles make one too
-    few: int = 16  # all shingles: fewer have smaller bands
-    few_border: int = 21
+    enough_words: int = 8  # shingles at words from which they make a signature
+    border: int = 13  # and below which all shingles make one too
+    few: int = 16  # hashes of a signature: fewer have keys of two, about the border of two and three
+    few_border: int = 22
 
 
 def _normal(line: Column) -> Column:
@@ -73,23 +73,30 @@ def _hashed(runs: Column) -> Column:
 
 
 def _keys(sketch: Column, kind: int, bits: int, rows: int) -> Column:
-    """A key for each pattern of leading bits that occurs: its least hash and those that follow, of sorted hashes."""
-    lead = lambda i: F.shiftright(F.get(sketch, i), 64 - bits)
-    first = F.filter(F.sequence(F.lit(0), F.size(sketch) - 1), lambda i: (i == 0) | (lead(i) != lead(i - 1)))
-    return F.transform(first, lambda i: F.xxhash64(F.lit(kind), *[F.get(sketch, i + j) for j in range(rows)]))
+    """A key for each pattern of leading bits, of sorted hashes: the least hash from there on and those that follow, the first after the last."""
+    edges = [(n << (64 - bits)) - (1 << 63) for n in range(1 << bits)]
+
+    def of(with_edges: Column) -> Column:
+        at = F.array(*[(F.array_position(with_edges, F.lit(e).cast("long")) - (1 + n)).cast("int") for n, e in enumerate(edges)])
+        inside = F.filter(F.array_distinct(at), lambda i: i < F.size(sketch))
+        return F.transform(inside, lambda i: F.xxhash64(F.lit(kind), *[F.get(sketch, (i + j) % F.size(sketch)) for j in range(rows)]))
+
+    return _let(F.sort_array(F.concat(sketch, F.array(*[F.lit(e).cast("long") for e in edges]))), of)
 
 
 def _bands(line: Column, o: Options) -> Column:
     """The keys of a line."""
     nothing = F.expr("CAST(array() AS array<bigint>)")
 
+    def both(runs: Column, kind: int) -> Column:
+        small = F.when(F.size(runs) < o.few_border, _keys(runs, kind, 3, 2)).otherwise(nothing)
+        return F.concat(small, F.when(F.size(runs) >= o.few, _keys(runs, kind + 1, 3, 3)).otherwise(nothing))
+
     def of_all(runs: Column) -> Column:
-        small = F.when(F.size(runs) < o.few_border, _keys(runs, 1, 2, 2)).otherwise(nothing)
-        large = F.when(F.size(runs) >= o.few, _keys(runs, 2, 3, 3)).otherwise(nothing)
-        return F.when(F.size(runs) == 1, F.array(F.xxhash64(F.lit(0), F.get(runs, F.lit(0))))).otherwise(F.concat(small, large))
+        return F.when(F.size(runs) == 1, F.array(F.xxhash64(F.lit(0), F.get(runs, F.lit(0))))).otherwise(both(runs, 1))
 
     def of_words(runs: Column) -> Column:
-        own = F.when(F.size(runs) >= o.enough_words, _keys(runs, 3, 3, 3)).otherwise(nothing)
+        own = F.when(F.size(runs) >= o.enough_words, both(runs, 3)).otherwise(nothing)
         return F.concat(own, F.when(F.size(runs) < o.border, _let(_hashed(shingles(line, o.shingle)), of_all)).otherwise(nothing))
 
     return F.array_distinct(_let(_hashed(at_words(line, o.shingle, "[a-m\u0080-\uffff]")), of_words))
