@@ -187,6 +187,34 @@ def media_instance(content: Column) -> Column:
     return sha_prefix(content, 6)
 
 
+def short_sha(sha: Column) -> Column:
+    """Seven characters of a commit; a shorter one as it is."""
+    return F.substring(sha, 1, 7)
+
+
+def keyframe_instance(content: Column, timestamp: Column) -> Column:
+    return F.concat(media_instance(content), F.lit("-"), timestamp)
+
+
+def blob_instance(content: Column) -> Column:
+    return sha_prefix(content, 12)
+
+
+def is_public(org: Column) -> Column:
+    """The namespace that all may read."""
+    return org == "public"
+
+
+def overload_instance(path: Column, scopes: Column, name: Column, kind: Column, parameters: Column) -> Column:
+    """A C++ callable's instance: its parameter list, blanks collapsed, tells overloads apart; one without a list has none."""
+    plain = F.btrim(F.regexp_replace(parameters, r"\s+", " "))
+    return F.concat(scoped_instance(path, scopes, name, kind), F.when(parameters.isNull(), "").otherwise(F.concat(F.lit("-"), sha_prefix(plain, 6))))
+
+
+def document_id(org: Column, system: Column, path: Column) -> Column:
+    return build(org, F.lit("web"), system, F.lit("doc"), sanitize_instance(path))
+
+
 def chunk_instance(path: Column, ordinal: Column) -> Column:
     return F.concat(sanitize_instance(path), F.lit("-"), F.lpad(ordinal.cast("string"), 4, "0"))
 

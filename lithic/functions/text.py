@@ -21,6 +21,19 @@ def passage_title(parent: Column, path: Column, ordinal: Column) -> Column:
     return F.when(F.size(tail) > 0, F.concat(parent, F.lit(" § "), F.array_join(tail, " § "))).otherwise(bare)
 
 
+def clean_comment(block: Column) -> Column:
+    """The text of a documentation comment: its marks and each line's star removed, blank lines at both ends left out."""
+    inner = F.regexp_replace(F.regexp_replace(F.btrim(block, F.lit(" \t\r\n")), r"^/\*\*", ""), r"\*/$", "")
+    lines = F.transform(F.split(inner, "\n"), lambda x: F.rtrim(F.regexp_replace(F.regexp_replace(x, r"^[ \t]*\*?", ""), "^ ", ""), F.lit(" \t")))
+    return F.regexp_replace(F.array_join(lines, "\n"), r"\A\n+|\n+\z", "")
+
+
+def with_metadata(comment: Column, metadata: Column) -> Column:
+    """A comment and what else is known of a symbol, a blank line between them."""
+    parts = F.array(F.btrim(comment, F.lit(" \t\r\n")), F.btrim(metadata, F.lit(" \t\r\n")))
+    return F.array_join(F.filter(parts, lambda x: x != ""), "\n\n")
+
+
 def is_test_path(path: Column) -> Column:
     base, parts = F.element_at(F.split(path, "/"), -1), F.split(path, "/")
     return (base.endswith("_test.go") | base.contains(".test.") | base.contains(".spec.") | (base.endswith(".py") & (base.startswith("test_") | base.endswith("_test.py"))) | base.endswith("Test.java")
@@ -37,10 +50,20 @@ def byte_lines(text: Column) -> Column:
     return F.size(F.split(text, "\n"))
 
 
+# Fixed values of the guard against generated assets.
+MINIFIED_NAMES = (".min.js", "-min.js", ".min.css", "-min.css")
+PROBE_BYTES, PROBE_LEAST, BYTES_A_LINE = 64 * 1024, 4 * 1024, 512
+
+
 def minified(path: Column, text: Column) -> Column:
-    """By name, or 4 KiB and more with over 512 bytes a line in the first 64 KiB."""
-    head = F.substring(text, 1, 65536)
-    return path.rlike(r"\.min\.(js|css|mjs|cjs)$|\.bundle\.js$") | ((F.octet_length(text) >= 4096) & (F.octet_length(head) / byte_lines(head) > 512))
+    """By the end of its name in any case, or by its shape: 4 KiB and more with over 512 whole bytes a line in the first 64 KiB."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    named = F.lit(False)
+    for end in MINIFIED_NAMES:
+        named = named | name.endswith(end)
+    # One character a byte, so that the probe ends at a byte and not at a character.
+    probe = F.decode(F.substring(F.encode(text, "UTF-8"), 1, PROBE_BYTES), "ISO-8859-1")
+    return named | ((F.octet_length(text) >= PROBE_LEAST) & (F.floor(F.length(probe) / byte_lines(probe)) > BYTES_A_LINE))
 
 
 def natural_key(v: Column) -> Column:

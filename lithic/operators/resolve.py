@@ -34,7 +34,7 @@ def longest_prefix(paths: DataFrame, modules: DataFrame) -> DataFrame:
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     found = paths.select("path", F.explode(up).alias("module")).join(modules.select("module").distinct(), "module")
     best = found.groupBy("path").agg(F.max_by("module", F.length("module")).alias("module"))
-    return best.withColumn("rest", F.ltrim(F.lit("/"), F.col("path").substr(F.length("module") + 1, F.length("path"))))
+    return best.withColumn("rest", F.ltrim(F.col("path").substr(F.length("module") + 1, F.length("path")), F.lit("/")))
 
 
 def first_existing(refs: DataFrame, files: DataFrame, candidates: Column) -> DataFrame:
@@ -50,19 +50,20 @@ def python_candidates(module: Column) -> Column:
     return F.array(F.concat(path, F.lit(".py")), F.concat(path, F.lit("/__init__.py")))
 
 
-# What a relative import may name, in order.
-SCRIPT_SUFFIXES = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".svelte")
+# What a relative import may name, in order: a file of the same name first, then a folder's index.
+SCRIPT_SUFFIXES = (".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs")
 
 
 def script_candidates(target: Column) -> Column:
-    return F.array(target, *[F.concat(target, F.lit(s)) for s in SCRIPT_SUFFIXES], *[F.concat(target, F.lit("/index" + s)) for s in SCRIPT_SUFFIXES])
+    both = F.array(*[F.concat(target, F.lit(s)) for s in SCRIPT_SUFFIXES], *[F.concat_ws("/", F.nullif(target, F.lit("")), F.lit("index" + s)) for s in SCRIPT_SUFFIXES])
+    return F.when(target.isNotNull(), both)
 
 
 def relative(path: Column, spec: Column) -> Column:
-    """A relative specifier beside a file, normalised; null where it leaves the root."""
+    """A relative specifier beside a file, normalised; null where it leaves the root, or doesn't begin with a dot."""
     start = F.filter(F.concat(F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1), F.split(spec, "/")), lambda p: (p != "") & (p != "."))
     walked = F.aggregate(start, F.array(F.lit("/")).cast("array<string>"), lambda a, p: F.when(p != "..", F.concat(a, F.array(p))).otherwise(F.slice(a, 1, F.size(a) - 1)))
-    return F.when(F.element_at(F.concat(walked, F.array(F.lit(""))), 1) == "/", F.array_join(F.slice(walked, 2, F.greatest(F.size(walked) - 1, F.lit(0))), "/"))
+    return F.when(spec.startswith(".") & (F.element_at(F.concat(walked, F.array(F.lit(""))), 1) == "/"), F.array_join(F.slice(walked, 2, F.greatest(F.size(walked) - 1, F.lit(0))), "/"))
 
 
 def nearest_declaring(asks: DataFrame, parents: DataFrame, declares: DataFrame, most_depth: int = 12) -> DataFrame:

@@ -15,8 +15,10 @@ def grade(rows: DataFrame) -> DataFrame:
     """Adds verdict from (answer, top, all_of, any_of, none_of, top_all, top_none, failed); empty lists ask nothing."""
     a, top = F.coalesce(F.col("answer"), F.lit("")), F.coalesce(F.col("top"), F.lit(""))
     right = _has(a, F.col("all_of"), True) & ((F.size("any_of") == 0) | _has(a, F.col("any_of"), False))
-    verdict = (F.when(F.col("failed"), "error").when(_has(a, F.col("none_of"), False), "FABRICATED").when(~right, "miss").when(_has(top, F.col("top_none"), False), "MISLEADING")
-               .when(~_has(top, F.col("top_all"), True), "IMPRECISE").otherwise("correct"))
+    # The first item is judged twice, for what it must hold and for what it could be mistaken for, and the two are combined.
+    holds, twin = _has(top, F.col("top_all"), True), _has(top, F.col("top_none"), False)
+    of_top = F.when(holds & twin, "IMPRECISE").when(twin, "MISLEADING").when(~holds, "miss").otherwise("correct")
+    verdict = F.when(_has(a, F.col("none_of"), False), "FABRICATED").when(F.col("failed"), "error").when(~right, "miss").otherwise(of_top)
     return rows.withColumn("verdict", verdict)
 
 

@@ -77,10 +77,10 @@ def resolve_python_modules(spark, d):
     return resolve.first_existing(refs, f, resolve.python_candidates(F.col("module")))
 
 
-@query("resolve_script_modules", values("file, spec, target", [("src/a/x.ts", "./y", "src/a/y.ts"), ("src/a/x.ts", "../b", "src/b/index.ts")]))
+@query("resolve_script_modules", values("file, spec, target", [("src/a/x.ts", "./y", "src/a/y.tsx"), ("src/a/x.ts", "../b", "src/b/index.d.ts"), ("src/a/x.ts", "./types", "src/a/types.d.ts"), ("top.ts", ".", "index.js")]))
 def resolve_script_modules(spark, d):
-    refs = spark.createDataFrame([("src/a/x.ts", "./y"), ("src/a/x.ts", "../b"), ("src/a/x.ts", "../../../out")], "file string, spec string")
-    f = spark.createDataFrame([("src/a/y.ts",), ("src/a/y.js",), ("src/b/index.ts",), ("out.ts",)], "file string")
+    refs = spark.createDataFrame([("src/a/x.ts", "./y"), ("src/a/x.ts", "../b"), ("src/a/x.ts", "./types"), ("src/a/x.ts", "../../../out"), ("src/a/x.ts", "src/b"), ("src/a/x.ts", "./plain.css"), ("src/a/x.ts", "./C"), ("top.ts", ".")], "file string, spec string")
+    f = spark.createDataFrame([("src/a/y.tsx",), ("src/a/y.js",), ("src/b/index.d.ts",), ("src/b/index.js",), ("out.ts",), ("src/a/types.d.ts",), ("src/a/types.js",), ("src/b.mjs.txt",), ("src/a/plain.css",), ("src/a/C.svelte",), ("index.js",)], "file string")
     return resolve.first_existing(refs, f, resolve.script_candidates(resolve.relative(F.col("file"), F.col("spec"))))
 
 
@@ -98,7 +98,9 @@ def test_paths(spark, d):
     return p.select("path", text.is_test_path(F.col("path")).alias("test"))
 
 
-@query("file_guard", "SELECT doc_id, octet_length(encode(text)) >= 4096 AND octet_length(encode(left(text, 65536))) / len(string_split(left(text, 65536), chr(10))) > 512 AS minified FROM documents")
+@query("file_guard", r"""
+WITH b AS (SELECT doc_id, octet_length(encode(text)) AS size, regexp_replace(left(hex(encode(text)), 131072), '(..)', '\1,', 'g') AS probe FROM documents)
+SELECT doc_id, size >= 4096 AND floor((length(probe) / 3) / len(string_split(probe, '0A,'))) > 512 AS minified FROM b""")
 def file_guard(spark, d):
     return read(spark, d, "documents").select("doc_id", text.minified(F.lit("a.txt"), F.col("text")).alias("minified"))
 

@@ -86,8 +86,10 @@ def event_windows(spark, d):
 
 GRADE = """
 a AS (SELECT conv_id, turn, role AS arm, text AS answer, left(text, 40) AS top, length(text) AS bytes, turn % 13 = 12 AS failed FROM conversations),
-g AS (SELECT *, CASE WHEN failed THEN 'error' WHEN contains(lower(answer), 'unable') THEN 'FABRICATED' WHEN NOT (contains(lower(answer), 'the') AND (contains(lower(answer), 'ing') OR contains(lower(answer), 'ed'))) THEN 'miss'
-  WHEN contains(lower(top), 'or ') THEN 'MISLEADING' WHEN NOT contains(lower(top), 'an') THEN 'IMPRECISE' ELSE 'correct' END AS verdict FROM a)"""
+t AS (SELECT *, contains(lower(top), 'an') AS holds, contains(lower(top), 'or ') AS twin FROM a),
+g AS (SELECT *, CASE WHEN contains(lower(answer), 'unable') THEN 'FABRICATED' WHEN failed THEN 'error'
+  WHEN NOT (contains(lower(answer), 'the') AND (contains(lower(answer), 'ing') OR contains(lower(answer), 'ed'))) THEN 'miss'
+  WHEN holds AND twin THEN 'IMPRECISE' WHEN NOT holds AND twin THEN 'MISLEADING' WHEN NOT holds THEN 'miss' ELSE 'correct' END AS verdict FROM t)"""
 
 
 def graded(spark, d):

@@ -13,7 +13,9 @@ from lithic import vocab
 
 SYMBOL = "file string, kind string, name string, scope string, start long, `end` long, visibility string, doc string, calls array<string>"
 _SCHEMA = pa.schema([("file", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("scope", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("visibility", pa.string()), ("doc", pa.string()), ("calls", pa.list_(pa.string()))])
+#: A file of more symbols keeps its containers only; these kinds don't count as symbols.
 MOST_SYMBOLS = 5000
+CONTAINERS = ("repo", "folder", "file", "package")
 
 
 def _called(node: ast.AST) -> list[str]:
@@ -58,7 +60,8 @@ def python_file(path: str, text: str) -> list[dict]:
                         put(node, "const" if t.id.isupper() else "var", t.id, scope)
 
     walk(tree.body, "", False)
-    return out if len(out) <= MOST_SYMBOLS else out[:1]
+    symbols = sum(x["kind"] not in CONTAINERS for x in out)
+    return out if symbols <= MOST_SYMBOLS else [x for x in out if x["kind"] in CONTAINERS]
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
@@ -104,13 +107,29 @@ def declared(files: DataFrame, language: str) -> DataFrame:
     return out.withColumn("exported", (first != F.lower(first)) if language == "golang" else F.lit(True))
 
 
+def capped(symbols: DataFrame, most: int = MOST_SYMBOLS) -> DataFrame:
+    """Symbols of any language without those of files that have more than `most`; containers (repo, folder, file, package) stay."""
+    is_symbol = ~F.col("kind").isin(*CONTAINERS)
+    over = symbols.where(is_symbol).groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > most).select("file", F.lit(True).alias("over"))
+    return symbols.join(over, "file", "left").where(F.col("over").isNull() | ~is_symbol).select(*symbols.columns)
+
+
 def runes(files: DataFrame) -> DataFrame:
     """(file, rune, n) of component files."""
     return files.select("file", F.explode(F.regexp_extract_all("text", F.lit(RUNES), F.lit(1))).alias("rune")).groupBy("file", "rune").agg(F.count("*").alias("n"))
 
 
-def walk(spark, root: str) -> DataFrame:
-    """(file, text) of a tree of code files, pruned directories left out: node_modules, hidden ones and vendored git trees."""
+def walk(spark, root: str, excludes: list[str] | None = None) -> DataFrame:
+    """(file, text) of a tree of code files; pruned folders (node_modules, hidden ones, excludes) and other sources' trees left out.
+
+    A folder below the root that holds .git belongs to another source. Paths are chosen before any file is read.
+    """
+    from lithic.sources import plane
+
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.col("path")
-    return raw.where(~path.rlike(r"/(node_modules|\.[^/]+)/") & route(path).isNotNull()).select(path.alias("file"), F.decode("content", "UTF-8").alias("text"))
+    below = F.substring(path, len(root.rstrip("/")) + 1, 100_000) if "://" in root else F.element_at(F.split(path, F.lit(root.rstrip("/") + "/")), -1)
+    paths = raw.select(path, below.alias("below"))
+    foreign = paths.where(F.col("below").rlike(r"(^|/)[^/]+/\.git(/|$)"))
+    kept = plane.outside_boundaries(paths.where(plane.scanned(F.col("below"), excludes or []) & route(F.col("below")).isNotNull()), "below", plane.boundaries(foreign, "below"))
+    return raw.join(kept.select("path"), "path", "left_semi").select(path.alias("file"), F.decode("content", "UTF-8").alias("text"))

@@ -50,19 +50,41 @@ def dockerfile(files: DataFrame) -> DataFrame:
     return images.unionByName(ports)
 
 
+_POM_DEPENDENCY = "struct<groupId:string,artifactId:string,version:string,scope:string>"
+_POM = f"groupId string, artifactId string, version string, packaging string, modules struct<module:array<string>>, dependencies struct<dependency:array<{_POM_DEPENDENCY}>>"
+
+
+def _poms(files: DataFrame) -> DataFrame:
+    return files.select("file", F.from_xml(F.col("text"), _POM, {"rowTag": "project"}).alias("p")).where("p IS NOT NULL")
+
+
+def pom_project(files: DataFrame) -> DataFrame:
+    """(file, group_id, artifact_id, version, packaging, modules) of a project; what it doesn't state is empty, packaging too."""
+    said = lambda c: F.coalesce(F.trim(F.col(f"p.{c}")), F.lit(""))
+    return _poms(files).select("file", said("groupId").alias("group_id"), said("artifactId").alias("artifact_id"), said("version").alias("version"), said("packaging").alias("packaging"),
+                               F.coalesce("p.modules.module", F.expr("CAST(array() AS array<string>)")).alias("modules"))
+
+
 def pom(files: DataFrame) -> DataFrame:
-    """(file, group_id, artifact_id, version, scope) of a project's dependencies; an absent scope is compile."""
-    # xpath takes constant paths only, so a dependency is cut out as text.
-    cut = files.select("file", F.posexplode(F.regexp_extract_all(F.regexp_replace("text", r"(?s)<!--.*?-->", ""), F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))).alias("i", "d"))
-    tag = lambda t: F.trim(F.regexp_extract("d", rf"(?s)<{t}>(.*?)</{t}>", 1))
-    return cut.select("file", tag("groupId").alias("group_id"), tag("artifactId").alias("artifact_id"), tag("version").alias("version"), F.when(tag("scope") == "", "compile").otherwise(tag("scope")).alias("scope"))
+    """(file, group_id, artifact_id, version, scope) of the dependencies that a project itself declares; an absent scope is compile.
+
+    What it only manages, or its plugins need, isn't a dependency of the project.
+    """
+    d = _poms(files).select("file", F.explode("p.dependencies.dependency").alias("d"))
+    said = lambda c: F.coalesce(F.trim(F.col(f"d.{c}")), F.lit(""))
+    return d.select("file", said("groupId").alias("group_id"), said("artifactId").alias("artifact_id"), said("version").alias("version"), F.when(said("scope") == "", "compile").otherwise(said("scope")).alias("scope"))
+
+
+# The configurations whose dependencies are read, and the parts of a coordinate in quotes.
+GRADLE_CONFIGURATIONS = ("implementation", "testImplementation", "api", "compileOnly", "runtimeOnly")
+_COORDINATE = r"""['"](?<group>[^:'"]+):(?<name>[^:'"]+):(?<version>[^'"]+)['"]"""
 
 
 def gradle(files: DataFrame) -> DataFrame:
     """(file, configuration, group, name, version)."""
-    rx = r"^\s*(implementation|testImplementation|api|compileOnly|runtimeOnly)\s+['\"]([^:'\"]+):([^:'\"]+):([^'\"]+)['\"]"
-    part = lambda i: F.regexp_extract("line", rx, i)
-    return _lines(files).where(F.col("line").rlike(rx)).select("file", part(1).alias("configuration"), part(2).alias("group"), part(3).alias("name"), F.trim(part(4)).alias("version"))
+    declared = rf"^\s*(?<configuration>{'|'.join(GRADLE_CONFIGURATIONS)})\s+{_COORDINATE}"
+    part = lambda i: F.regexp_extract("line", declared, i)
+    return _lines(files).where(F.col("line").rlike(declared)).select("file", part(1).alias("configuration"), part(2).alias("group"), part(3).alias("name"), F.trim(part(4)).alias("version"))
 
 
 def git_log(files: DataFrame) -> DataFrame:
