@@ -19,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode, where it is unset, a folder of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lithic-")
         spark.sparkContext.setCheckpointDir(where)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -32,13 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, and outlives a lost executor."""
+    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, and outlives a lost executor.
+
+    What isn't unstaged before (results that are read from it later) is deleted when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(held)
     out = spark.read.schema(df.schema).parquet(path)
     out._lithic_path = path
     return out
