@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.llm import decontam, exact_dedup, near_dedup, packing, toxicity
-from lithic.llm.common import stage, table
+from lithic.llm.common import stage, table, unstage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (five-word shingles, Jaccard 0.8) the smallest doc_id stays."""
+    """Of each class of near duplicates (five-word shingles, Jaccard 0.8) one row stays, that of the smallest doc_id."""
     return near_dedup.near_dedup(docs)
 
 
@@ -57,12 +57,13 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't express learned scores, MinHash classes or a tokenizer; the stages are tested against brute force.
+#: SQL can't express learned scores, MinHash classes or a tokenizer; tests/llm runs the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        before, docs = docs, stage(step(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        unstage(before)  # a stage's input isn't read again once its result is written
     return docs
