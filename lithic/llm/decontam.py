@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lithic.llm.common import text_or_empty
-from lithic.llm.words import NOT_ALPHANUMERIC, Words, by_bytes, mix, split_words
+from lithic.llm.words import NOT_ALPHANUMERIC, Words, by_bytes, mix, split_words, texts_by_size
 
 _WALK, _GRAM, _KEY = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03))
 #: Items are sent to the tasks in blocks of so many bytes of text at most (or one longer item).
@@ -333,10 +333,10 @@ def _cleaner(sent, params: Params):
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         block = Search(*sent.value, params)
         for column in batches:
-            out = np.ones(len(column), bool)
-            for at in range(0, len(column), 512):
-                texts = pa.array(column[at:at + 512], pa.string())
-                out[[at + found[0] for found in block.find(texts)]] = False
+            out, at = np.ones(len(column), bool), 0
+            for part in texts_by_size(column):
+                out[[at + found[0] for found in block.find(pa.array(part, pa.string()))]] = False
+                at += len(part)
             yield pd.Series(out)
 
     return clean

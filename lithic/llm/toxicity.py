@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from lithic.llm import logistic
 from lithic.llm.automaton import Lexicon, Term
 from lithic.llm.common import OWN, fold, stage, text_or_empty, unstage
-from lithic.llm.words import by_bytes, mix, shingles, split_words
+from lithic.llm.words import by_bytes, mix, shingles, split_words, texts_by_size
 
 #: The list that learning starts from.
 SEED_TERMS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "imbecile", "vermin", "dumbass", "bastard", "asshole")
@@ -281,7 +281,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lexicon = Lexicon(model.terms)
         for texts in batches:
-            parts = [logistic.predict(model.beta, features(texts[at:at + 512].tolist(), lexicon, model.window)) for at in range(0, len(texts), 512)]
+            parts = [logistic.predict(model.beta, features(part.tolist(), lexicon, model.window)) for part in texts_by_size(texts)]
             yield pd.Series(np.concatenate([np.zeros(0), *parts]))
 
     return docs.where(scored(text_or_empty(text_col)) < threshold)

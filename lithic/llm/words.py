@@ -7,6 +7,7 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -151,12 +152,22 @@ def distinct(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h[at], d[at], np.diff(np.append(at, len(h)))
 
 
-def by_bytes(batch: pa.RecordBatch, text_column: int, most: int = 512 << 10) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have about `most` bytes, or one row of more."""
+def by_bytes(batch: pa.RecordBatch, text_column: int, most: int = 512 << 10, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of so many rows at most whose texts have about `most` bytes, or one row of more."""
     size = pc.binary_length(batch.column(text_column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     total, at = np.cumsum(size), 0
     while at < batch.num_rows:
         base = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, base + most, side="right")))
+        to = min(max(at + 1, int(np.searchsorted(total, base + most, side="right"))), at + rows)
         yield batch.slice(at, to - at)
         at = to
+
+
+def texts_by_size(column: pd.Series, most: int = 256 << 10, rows: int = 1024) -> Iterator[pd.Series]:
+    """Slices of a column of texts (no nulls) of about `most` characters and so many rows at most, or one row of more."""
+    total, at = column.str.len().to_numpy(np.int64).cumsum(), 0
+    while at < len(column):
+        base = total[at - 1] if at else 0
+        to = min(max(at + 1, int(np.searchsorted(total, base + most, side="right"))), at + rows)
+        yield column.iloc[at:to]
+        at = to
