@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -95,12 +95,24 @@ def impact(seeds: DataFrame, edges: DataFrame, most_depth: int = 12) -> DataFram
     return reached.where("depth > 0")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; in local mode, where none is named, one of our own."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lithic-"))
+        named = "file://" + tempfile.mkdtemp(prefix="lithic-")
+    spark.sparkContext.setCheckpointDir(named)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def _checkpointed(df: DataFrame) -> DataFrame:
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
@@ -176,15 +188,65 @@ def cosine(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
 
 
 def _cosine(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
-    q = queries.select(F.col("id").alias("query"), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("nq"))
-    v = vectors.select("id", "embedding", norm(F.col("embedding")).alias("nv"))
-    scored = v.join(F.broadcast(q), F.col("id") != F.col("query")).select("query", "id", (dot(F.col("embedding"), F.col("q")) / (F.col("nv") * F.col("nq"))).alias("score"))
-    order = W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
+    """The queries (at most MOST_QUERIES) are sent to all tasks; a task multiplies them with its vectors batch by batch and keeps its best of each."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    got = queries.where("embedding IS NOT NULL").select("id", F.col("embedding").cast("array<double>").alias("embedding")).toArrow()
+    sent = vectors.sparkSession.sparkContext.broadcast((got.column(0).combine_chunks(), _matrix(got.column(1).combine_chunks())))
+
+    def best(query, score, ids):
+        order = np.lexsort((ids, -score, query))
+        query, score, ids = query[order], score[order], ids[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        return [x[place < most] for x in (query, score, ids)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = sent.value
+        names_np = names.to_numpy(zero_copy_only=False)
+        held, size, floor = [], 0, np.full(len(names), -np.inf)
+        id_type = None
+        for whole in batches:
+            id_type = whole.schema.field(0).type
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                own, v = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+                if not len(names) or not len(own):
+                    continue
+                s = np.round(v @ q.T, 9)
+                s[own[:, None] == names_np[None, :]] = -np.inf
+                k = min(most, len(own))
+                least = np.maximum(np.partition(s, len(own) - k, axis=0)[len(own) - k], floor)
+                row, query = np.nonzero((s >= least) & (s > -np.inf))
+                held.append((query, s[row, query], own[row]))
+                size += len(row)
+                if size > 8 * most * len(names):
+                    held = [best(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    full = np.bincount(held[0][0], minlength=len(names)) >= most
+                    low = np.full(len(names), np.inf)
+                    np.minimum.at(low, held[0][0], held[0][1])
+                    floor = np.where(full, low, -np.inf)
+        if held:
+            query, score, ids = best(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), pa.array(ids, id_type), pa.array(score)], names=["query", "id", "score"])
+
+    scored = vectors.where("embedding IS NOT NULL").select("id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, f"query {kind}, id {kind}, score double")
+    order = W.partitionBy("query").orderBy(F.desc("score"), "id")  # at most `most` rows of a task and query
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def _matrix(column):
+    """Rows of one length as a matrix of unit vectors."""
+    import numpy as np
+
+    m = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True)) if len(m) else m
+
+
 # ---- search answers -------------------------------------------------------------------------------------------------
 
 def disclosure(has_answer: Column, has_model: Column, has_summaries: Column, n_entities: Column) -> Column:

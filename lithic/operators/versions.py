@@ -108,6 +108,39 @@ def staleness(entities: DataFrame, live: DataFrame) -> DataFrame:
     return rows.select("id", action.alias("action"), F.when(action == "mark", reason).alias("reason")).where("action IS NOT NULL")
 
 
+def in_scope(entities: DataFrame, org: str, platform: str, systems: list[str]) -> DataFrame:
+    """Entities (id) of an organisation whose system is one of those given."""
+    parts = F.split("id", r"\.")
+    return entities.where(F.col("id").startswith(f"{org}.{platform}.") & F.coalesce(F.try_element_at(parts, F.lit(4)).isin(*systems), F.lit(False)))
+
+
+def source_removed(entities: DataFrame, reason: str = "source_removed") -> DataFrame:
+    """(id, action, reason): with no folder to look at, every entity in scope that isn't marked yet is marked; none is deleted. From (id, marked)."""
+    return entities.where(~F.coalesce("marked", F.lit(False))).select("id", F.lit("mark").alias("action"), F.lit(reason).alias("reason"))
+
+
+def root_missing(entities: DataFrame, present: bool, frozen: list[str] | None = None) -> DataFrame:
+    """(id, action, reason) for a source whose folder isn't there: path_missing, but for frozen systems, which are never marked."""
+    if present:
+        return source_removed(entities).limit(0)
+    system = F.try_element_at(F.split("id", r"\."), F.lit(4))
+    return source_removed(entities.where(~system.isin(*(frozen or [""]))), "path_missing")
+
+
+def diff_counters(changes: DataFrame, sizes: DataFrame, most: int = 2000, most_bytes: int = 512 * 1024) -> DataFrame:
+    """One row (listed, dropped, bodies, omitted, failed): how much of a changeset an answer shows.
+
+    sizes (key of changes, size): the bytes of a change's body, null where it couldn't be read. Bodies that don't fit the
+    budget are passed over, smaller ones after them still count.
+    """
+    shown = changeset(changes, most)
+    total = changes.where("status <> 'unchanged'").count()
+    rows = shown.join(sizes, KEY, "left")
+    fit = within_budget(rows.where("size IS NOT NULL"), ["path", "pkg", "name", "status", "ctype"], "size", most_bytes)
+    n, readable, kept = shown.count(), rows.where("size IS NOT NULL").count(), fit.count()
+    return changes.sparkSession.createDataFrame([(n, total - n, kept, readable - kept, n - readable)], "listed long, dropped long, bodies long, omitted long, failed long")
+
+
 def reconcile_markers(triples: DataFrame, actions: DataFrame, predicate: str = "entity.lifecycle.stale") -> DataFrame:
     """The triples with each acted-on entity's marker group replaced: exactly one marker, or none. Idempotent."""
     kept = triples.join(actions.select(F.col("id").alias("subject"), F.lit(predicate).alias("predicate")).distinct(), ["subject", "predicate"], "left_anti")

@@ -110,3 +110,41 @@ def read_upserted(spark: SparkSession, target: str) -> DataFrame | None:
     except AnalysisException:
         return None
     return spark.read.parquet(f"{target}/state-{last}")
+
+
+def polled(states: DataFrame) -> DataFrame:
+    """(path, event_id, change, hash) of polls (path, event_id, ts, op, hash): a head or a content hash that is seen first is a create, later only a change counts.
+
+    Polls that failed (op is error) say nothing about the content.
+    """
+    return suppress_unchanged(states.where("op <> 'error'"))
+
+
+# Errors of a publish by what can be done about them. Fixed values.
+RETRYABLE = ("circuit open", "not connected", "timeout", "deadline exceeded", "no responders")
+CAPACITY = ("maximum bytes exceeded", "maximum messages exceeded", "maximum messages per subject exceeded")
+CAPACITY_CODE = 10077
+
+
+def publish_error(message: Column, code: Column, cancelled: Column) -> Column:
+    """cancelled, retryable or terminal: a full stream is worth another try, any other refusal isn't."""
+    return F.when(cancelled, "cancelled").when(message.isin(*RETRYABLE) | ((code == CAPACITY_CODE) & message.isin(*CAPACITY)), "retryable").otherwise("terminal")
+
+
+def reindex_due(sources: DataFrame, now: Column, every: int = 60) -> DataFrame:
+    """Sources (source, hash, seen_hash, last) whose period of `every` seconds is over and whose content changed: unchanged ones are skipped."""
+    return sources.where((F.unix_timestamp(now) - F.unix_timestamp("last") >= every) & (F.col("seen_hash").isNull() | (F.col("hash") != F.col("seen_hash"))))
+
+
+def welcome_reports(reports: DataFrame, removals: DataFrame) -> DataFrame:
+    """Reports (instance, ts, ...) of sources that aren't removed: a late one of a removed source is ignored until it is added again.
+
+    removals (instance, removed, added): the last removal, and the last addition or null.
+    """
+    gone = removals.where(F.col("added").isNull() | (F.col("added") <= F.col("removed"))).select("instance").distinct()
+    return reports.join(gone, "instance", "left_anti")
+
+
+def bounded(changes: DataFrame, most: int) -> DataFrame:
+    """(batch, kept, dropped) of (batch): what a buffer of `most` events a batch would keep and drop; the streams here slow down instead."""
+    return changes.groupBy("batch").agg(F.count("*").alias("n")).select("batch", F.least("n", F.lit(most)).alias("kept"), F.greatest(F.col("n") - most, F.lit(0)).alias("dropped"))
