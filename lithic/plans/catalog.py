@@ -26,4 +26,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load_all() -> None:
     """Imports the modules that register queries."""
-    from lithic.plans import q_answers, q_code, q_config, q_graph, q_identity, q_plane, q_status, q_versions  # noqa: F401
+    from lithic.plans import q_answers, q_code, q_config, q_graph, q_identity, q_plane, q_resolve, q_status, q_versions  # noqa: F401
