@@ -60,6 +60,20 @@ def unstage(df: DataFrame | None) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of a batch that is sent to a Python worker. Texts are long: batches by rows alone would have hundreds of MB.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session sends batches of BATCH_BYTES at most to Python workers; a smaller setting stays. Results don't depend on it."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    held = str(conf.get(name, "64m")).lower().removesuffix("b")
+    held = int(held[:-1]) << {"k": 10, "m": 20, "g": 30}[held[-1]] if held[-1] in "kmg" else int(held)
+    if held > BATCH_BYTES or held <= 0:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lithic.llm.common import fold, stage, text_or_empty, unstage
+from lithic.llm.common import fold, small_batches, stage, text_or_empty, unstage
 from lithic.llm.words import Words, by_bytes, mix, split_words
 
 DEPTH = 5
@@ -459,7 +459,7 @@ def score(docs: DataFrame, most_hot: int = 1 << 21, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     held = fold(F.col(id_col)) % folds == 0
-    source = docs.select(text_or_empty(text_col).alias("text"), (~held).alias("train"))
+    source = small_batches(docs).select(text_or_empty(text_col).alias("text"), (~held).alias("train"))
     counted = source.mapInArrow(_count, "kind int, key long, n long")
     counts = stage(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts", ["kind"])
     words = counts.where(F.col("kind") == WORD).select("key", "n")
@@ -469,7 +469,7 @@ def score(docs: DataFrame, most_hot: int = 1 << 21, id_col: str = "doc_id", text
     table = string_table(counts.where(F.col("kind") == STRING))
     # An entry of a known word has a value above that of a count of 0, halfway to that of 1.
     sent = spark.sparkContext.broadcast((_hot(table, most_hot), _hot(words, most_hot // 2), float(np.log10(0.5) - below)))
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = texts.schema["id"].dataType
     rows = texts.mapInArrow(_scorer(sent, to_arrow_type(kind)), f"id {kind.simpleString()}, n_tokens long, n_bytes long, n_known long, base double, score double, words array<long>, strings array<long>")
     rows = stage(rows.withColumn("uid", F.monotonically_increasing_id()), "ctw-rows")

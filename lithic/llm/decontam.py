@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lithic.llm.common import text_or_empty
+from lithic.llm.common import small_batches, text_or_empty
 from lithic.llm.words import NOT_ALPHANUMERIC, Words, by_bytes, mix, split_words, texts_by_size
 
 _WALK, _GRAM, _KEY = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03))
@@ -46,8 +46,8 @@ _WALK, _GRAM, _KEY = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98D
 BLOCK_BYTES = 4 << 20
 #: Windows are embedded so many words at a time.
 WINDOW_WORDS = 250_000
-#: A bitmap of so many bits answers most look-ups of runs.
-_BITS = 22
+#: A bitmap answers most look-ups; it has some 64 places a key, between these powers of two.
+_LEAST_BITS, _MOST_BITS = 12, 22
 _END = np.uint64(0)
 #: Characters of scripts without blanks between words.
 _SPACELESS = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
@@ -72,6 +72,19 @@ class Item(NamedTuple):
     run: int
 
 
+class Bitmap:
+    """Which leading bits occur among keys."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = min(max(_LEAST_BITS, (64 * len(keys)).bit_length()), _MOST_BITS)
+        self.shift = np.uint64(64 - bits)
+        self.there = np.zeros(1 << bits, bool)
+        self.there[keys >> self.shift] = True
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        return self.there[keys >> self.shift]
+
+
 def _grams(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
@@ -125,15 +138,14 @@ class Tables:
         of = np.tile(np.repeat(numbers, p.tables), p.walks)
         order = np.argsort(keys, kind="stable")
         self.keys, self.of = keys[order], of[order]
-        self.bitmap = np.zeros(1 << _BITS, bool)
-        self.bitmap[keys >> np.uint64(64 - _BITS)] = True
+        self.bitmap = Bitmap(keys)
 
     def meet(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs that share a key in any table, each once."""
         found = [np.zeros((0, 2), np.int64)]
         for walk in range(self.p.walks):
             keys = table_keys(windows, walk, self.p)
-            row, table = np.nonzero(self.bitmap[keys >> np.uint64(64 - _BITS)])
+            row, table = np.nonzero(self.bitmap.may_hold(keys))
             k = keys[row, table]
             low = np.searchsorted(self.keys, k, "left")
             many = np.searchsorted(self.keys, k, "right") - low
@@ -195,9 +207,7 @@ class Block:
         for run, rows in runs.items():
             rows.sort()
             grams = np.array([r[0] for r in rows], np.uint64)
-            bitmap = np.zeros(1 << _BITS, bool)
-            bitmap[grams >> np.uint64(64 - _BITS)] = True
-            self.runs[run] = (grams, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), bitmap)
+            self.runs[run] = (grams, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), Bitmap(grams))
         self.p = p
         self.tables = {}
         for width in {len(i.words) for i in self.items}:
@@ -209,7 +219,7 @@ class Block:
         out: dict[int, list[np.ndarray]] = {}
         for run, (grams, item, place, bitmap) in self.runs.items():
             h = _grams(words.hash, run)
-            at = np.flatnonzero(bitmap[h >> np.uint64(64 - _BITS)])
+            at = np.flatnonzero(bitmap.may_hold(h))
             at = at[words.doc[at] == words.doc[at + run - 1]]
             low, high = np.searchsorted(grams, h[at], "left"), np.searchsorted(grams, h[at], "right")
             many = high - low
@@ -317,7 +327,7 @@ def contamination(docs: DataFrame, items: DataFrame, params: Params = Params(),
     """A row per document: id, matches (item, start and end byte in the text, edits), contaminated."""
     spark = docs.sparkSession
     wanted = items.select(F.col(item_id_col).alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind, item_kind = source.schema["id"].dataType, wanted.schema["id"].dataType
     matches = f"array<struct<item:{item_kind.simpleString()},start:bigint,end:bigint,edits:bigint>>"
     out = source.withColumn("matches", F.expr(f"CAST(array() AS {matches})"))
@@ -345,6 +355,7 @@ def _cleaner(sent, params: Params):
 def decontaminate(docs: DataFrame, items: DataFrame, params: Params = Params(), text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents in which no item is found, with all their columns; searched where they are read."""
     wanted = items.select(F.col(item_id_col).alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    docs = small_batches(docs)
     for ids, texts in _in_blocks(wanted):
         clean = _cleaner(docs.sparkSession.sparkContext.broadcast((ids, texts)), params)
         docs = docs.where(clean(text_or_empty(text_col)))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import text_or_empty
+from lithic.llm.common import small_batches, text_or_empty
 
 #: Runs of this many characters without a change between white space and the rest go to the library whose merges take
 #: n log n steps; the faster one takes n squared there.
@@ -92,7 +92,7 @@ def pack(docs: DataFrame, tokenizer: str, max_len: int = 1024, end_id: int = 0,
     """
     if max_len & (max_len - 1) or max_len < 1:
         raise ValueError("max_len must be a power of two")
-    source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lithic.llm import logistic
-from lithic.llm.common import OWN, fold, stage, text_or_empty, unstage
+from lithic.llm.common import OWN, fold, small_batches, stage, text_or_empty, unstage
 from lithic.llm.words import by_bytes, distinct, split_words
 
 
@@ -127,7 +127,7 @@ def quality(docs: DataFrame, labels: DataFrame, options: Options = Options(), id
         x = np.array([r["x"] for r in got])
         centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
         beta = (logistic.fit((x - centre) / scale, y), centre, scale)
-    source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), as_text(host).alias("host"), as_text(path).alias("path"))
+    source = small_batches(docs).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), as_text(host).alias("host"), as_text(path).alias("path"))
     kind = source.schema["id"].dataType
     scored = stage(source.mapInArrow(_scorer(beta, float(prior), to_arrow_type(kind)), f"id {kind.simpleString()}, host string, path string, p double"), "quality-scored")
     # Labels that were learned from are better evidence than the score; the fold that was held out gives its scores only.

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lithic.llm.common import text_or_empty
+from lithic.llm.common import small_batches, text_or_empty
 from lithic.llm.words import by_bytes, split_words
 
 SPACE = "▁"
@@ -109,6 +109,6 @@ def _counter(path: str, id_type: pa.DataType, block: int):
 
 def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", block: int = 8 << 20) -> DataFrame:
     """A row per document: id, n_tokens, n_words. The vocabulary is read from the same path on every machine."""
-    source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = source.schema["id"].dataType
     return source.mapInArrow(_counter(vocabulary_path, to_arrow_type(kind), block), f"id {kind.simpleString()}, n_tokens long, n_words long")

@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lithic.llm import logistic
 from lithic.llm.automaton import Lexicon, Term
-from lithic.llm.common import OWN, fold, stage, text_or_empty, unstage
+from lithic.llm.common import OWN, fold, small_batches, stage, text_or_empty, unstage
 from lithic.llm.words import by_bytes, mix, shingles, split_words, texts_by_size
 
 #: The list that learning starts from.
@@ -228,7 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame, options: Options = Options(), id_c
     usable = usable.groupBy(F.col(id_col).alias(OWN + "id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     sample = usable.orderBy(F.xxhash64(OWN + "id"), OWN + "id").limit(o.sample)
     sample = stage(sample, "toxic-sample")
-    rows = docs.join(F.broadcast(sample), docs[id_col] == sample[OWN + "id"]).select(text_or_empty(text_col).alias("text"), "toxic")
+    rows = small_batches(docs).join(F.broadcast(sample), docs[id_col] == sample[OWN + "id"]).select(text_or_empty(text_col).alias("text"), "toxic")
     rows = rows.mapInArrow(_sketched, "text string, toxic int, a long, b long").withColumn("uid", F.monotonically_increasing_id())
     rows = stage(rows, "toxic-rows")  # the texts of at most `sample` ids
     single = stage(rows.select("uid", "a", "b").groupBy("a").agg(F.min(F.struct("uid", "b")).alias("x")).groupBy("x.b").agg(F.min("x.uid").alias("uid")).select("uid"), "toxic-single")
@@ -269,7 +269,7 @@ def _scorer(model: Model, id_type: pa.DataType):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, score (0 to 1)."""
-    source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = source.schema["id"].dataType
     return source.mapInArrow(_scorer(model, to_arrow_type(kind)), f"id {kind.simpleString()}, score double")
 
@@ -284,4 +284,4 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str
             parts = [logistic.predict(model.beta, features(part.tolist(), lexicon, model.window)) for part in texts_by_size(texts)]
             yield pd.Series(np.concatenate([np.zeros(0), *parts]))
 
-    return docs.where(scored(text_or_empty(text_col)) < threshold)
+    return small_batches(docs).where(scored(text_or_empty(text_col)) < threshold)
