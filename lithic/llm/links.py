@@ -7,6 +7,9 @@ its largest component meet only the pivots outside it. So a large group of simil
 no link between components that share a bucket is left untested. A pair is tested by its sizes, then by sketches (four bits
 of each register; 4.2 standard deviations are allowed), and only then by its sets.
 
+Where nodes bring digests of their bands' keys, later rounds test a pair only in the first band that it shares, so that each
+pair is made once. A digest has 16 bits: an earlier band passes for shared by chance in one pair of 1,500 at most.
+
 A bucket of many unlike nodes doesn't shrink this way. Where `split_over` is given, a bucket whose comparisons would exceed
 it is replaced by buckets of two keys: a pair in it must share a second key, whichever that is. With 44 bands of 8 registers
 a pair at 0.8 has a second key with probability 0.997; nothing else is left out, and no bucket is cut short.
@@ -92,6 +95,27 @@ def _two_keys(cand: DataFrame, hot: DataFrame) -> DataFrame:
     return stage(cand.join(hot, "bucket", "left_anti").unionByName(pairs.select(*cand.columns)), "link-two-keys")
 
 
+_LANES = 0x0001000100010001
+
+
+def digest_names(bands: int) -> list[str]:
+    """Columns of four 16-bit digests each, the first band's lowest."""
+    return [f"d{i}" for i in range(-(-bands // 4))]
+
+
+def _first_shared(names: list[str]) -> Column:
+    """No band before the row's own has equal digests."""
+    out = F.lit(True)
+    for w, name in enumerate(names):
+        x = F.col(name).bitwiseXOR(F.col("other_" + name))
+        for step in (8, 4, 2, 1):  # the lowest bit of each lane becomes the OR of its bits
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        lanes = F.col("band").cast("int") - 4 * w
+        before = F.when(lanes >= 4, F.lit(_LANES)).when(lanes == 3, F.lit(_LANES >> 16)).when(lanes == 2, F.lit(_LANES >> 32)).when(lanes == 1, F.lit(1)).otherwise(0).cast("long")
+        out = out & (x.bitwiseAND(before) == before)
+    return out | (F.col("band") == TWO_KEYS)
+
+
 def _chosen(pivots: int) -> Column:
     """About `pivots` nodes of a bucket, one at least; those of fewer pivots are among those of more."""
     share = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("n") < F.lit(pivots << 30)
@@ -99,17 +123,17 @@ def _chosen(pivots: int) -> Column:
 
 
 def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str] | None = None, registers: int = 0, split_over: int | None = None,
-           items: Callable[[Column], Column] | None = None, rough: Callable[[Column], Column] | None = None) -> DataFrame | None:
+           items: Callable[[Column], Column] | None = None, rough: Callable[[Column], Column] | None = None, digests: DataFrame | None = None) -> DataFrame | None:
     """(node, component) of the nodes of cand (bucket, band, node, size, sketch...) that chains of similar nodes in common buckets connect.
 
     sets has (node, items): arrays without repeats, or what `items` makes them of. None if nothing is linked.
     """
-    sketch = sketch or []
+    sketch, own_digests = sketch or [], []
     known, pivots, before, few = None, 1, 0, True
     given, left = cand, cand
     while True:
         own = cand.where(F.col("band") < FIRST_BANDS) if few else left
-        columns = ["bucket", "band", "node", "size", *sketch]
+        columns = ["bucket", "band", "node", "size", *sketch, *own_digests]
         members = own.select(*columns, F.col("node").alias("c"))
         if known is not None:
             members = stage(own.join(known, "node", "left").select(*columns, F.coalesce("component", "node").alias("c")), "link-members")
@@ -122,19 +146,21 @@ def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str]
             if not hot.isEmpty():
                 now = _two_keys(cand, hot)
                 unstage(left if left is not given else None)
-                cand, left, split_over, pivots, before = now, now, None, 1, 0
+                cand, left, split_over, pivots, before, own_digests = now, now, None, 1, 0, []
                 unstage(open_)
                 continue
         still = None
         if largest is not None:
             # The pairs of the pivots of earlier rounds were tested then, in other bands and buckets too for the most part.
             fresh = _chosen(pivots) if not before else _chosen(pivots) & ~(_chosen(before) & (F.lit(True) if before > 1 or pivots > 1 else F.col("band") < FIRST_BANDS))
-            still = stage(members.join(open_, "bucket").select("bucket", "band", "node", "size", "c", *sketch, (F.col("c") != F.col("most")).alias("outside"), fresh.alias("pivot")), "link-still")
+            still = stage(members.join(open_, "bucket").select(*columns, "c", (F.col("c") != F.col("most")).alias("outside"), fresh.alias("pivot")), "link-still")
             chosen = still.where("pivot").select("bucket", F.explode(F.when(F.col("outside"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("outside"), F.col("node").alias("other"),
-                                                 F.col("size").alias("other_size"), F.col("c").alias("other_c"), *[F.col(s).alias("other_" + s) for s in sketch])
+                                                 F.col("size").alias("other_size"), F.col("c").alias("other_c"), *[F.col(s).alias("other_" + s) for s in [*sketch, *own_digests]])
             near = F.least("size", "other_size") >= threshold * F.greatest("size", "other_size") - 1e-9
             if sketch:
                 near = near & (_differences(sketch) <= most_differences(registers, threshold))
+            if own_digests:
+                near = near & _first_shared(own_digests)
             first = F.col("node") < F.col("other")
             pairs = still.join(chosen, ["bucket", "outside"]).where((F.col("c") != F.col("other_c")) & near).select(
                 F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), F.when(first, F.col("c")).otherwise(F.col("other_c")).alias("cu"), F.when(first, F.col("other_c")).otherwise(F.col("c")).alias("cv")).distinct()
@@ -146,7 +172,11 @@ def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str]
         # A bucket that is one component stays one: only the others go on.
         go_on = not few and largest is not None and largest > pivots
         if go_on:
-            old, left = left, stage(still.select("bucket", "band", "node", "size", *sketch), "link-left")
+            more = still.select(*columns)
+            if digests is not None and not own_digests:
+                own_digests = [c for c in digests.columns if c != "node"]
+                more = more.join(digests, "node")
+            old, left = left, stage(more, "link-left")
             unstage(old if old is not given and old is not cand else None)
         for x in (members, open_, still):
             unstage(x)
