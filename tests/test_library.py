@@ -40,17 +40,17 @@ def one(spark, col):
 
 
 def test_slugs(spark):
-    cases = {"github.com/acme/gcs": "github-com-acme-gcs", "pkg.go.dev": "pkg-go-dev", "/data/fixture": "fixture", "./src": "src", "///leading-slashes///": "leading-slashes", "pkg@v1.2.3": "pkg-v1-2-3", "weird name+chars!": "weird-name-chars", "": ""}
+    cases = {"code.lan/team/forge": "code-lan-team-forge", "docs.lan": "docs-lan", "/srv/trees/oak": "oak", "./lib": "lib", "///upper/": "upper", "moss@v2.0": "moss-v2-0", "https://code.lan/a/b.git": "code-lan-a-b"}
     for a, b in cases.items():
         assert one(spark, ids.system_slug(F.lit(a))) == b
     assert 0 < len(one(spark, ids.system_slug(F.lit("a" * 120)))) <= 80
-    inst = {"feature/auth": "feature-auth", "foo///...bar": "foo-bar", "_leading": "leading", "trailing_": "trailing", "FeatureAuth": "FeatureAuth"}
+    inst = {"topic/login": "topic-login", "a///..b": "a-b", "_first": "first", "last_": "last", "KeepsCase": "KeepsCase"}
     for a, b in inst.items():
         assert one(spark, ids.sanitize_instance(F.lit(a))) == b
-    assert one(spark, ids.canonical_url(F.lit("HTTPS://DOCS.ACME.IO/GCS/?foo=bar#top"))) == "https://docs.acme.io/GCS"
-    seg = one(spark, ids.sanitize_segment(F.lit("+page")))
-    assert seg != one(spark, ids.sanitize_segment(F.lit("page"))) and one(spark, ids.sanitize_segment(F.lit(seg))) == seg
-    assert one(spark, text.section_anchor(F.lit("Build & Test Commands"))) == "build--test-commands" and one(spark, text.section_anchor(F.lit("日本語 見出し"))) == "日本語-見出し"
+    assert one(spark, ids.canonical_url(F.lit("HTTPS://Docs.LAN/Trees/?a=b#c"))) == "https://docs.lan/Trees"
+    seg = one(spark, ids.sanitize_segment(F.lit("+leaf")))
+    assert seg != one(spark, ids.sanitize_segment(F.lit("leaf"))) and one(spark, ids.sanitize_segment(F.lit(seg))) == seg
+    assert one(spark, text.section_anchor(F.lit("Sow & Reap Rules"))) == "sow--reap-rules" and one(spark, text.section_anchor(F.lit("日本語 見出し"))) == "日本語-見出し"
 
 
 def test_version_order(spark):
