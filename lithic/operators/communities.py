@@ -9,11 +9,31 @@ from pyspark.sql import functions as F
 from lithic.operators.retrieval import _checkpointed
 
 
-def ring(entities: DataFrame, group: str, weight: float, most: int) -> DataFrame:
-    """(a, b, w): each entity with the next `most` of its group in id order - peers without all pairs of a group."""
-    order = W.partitionBy(group).orderBy("id")
-    ahead = entities.select(F.col("id").alias("a"), *[F.lead("id", k).over(order).alias(f"b{k}") for k in range(1, most + 1)])
-    return ahead.select("a", F.explode(F.array(*[f"b{k}" for k in range(1, most + 1)])).alias("b")).where("b IS NOT NULL").withColumn("w", F.lit(weight))
+#: Rows of one block of `ring`: a block is what one task orders.
+BLOCK = 1 << 16
+
+
+def ring(entities: DataFrame, group: str, weight: float, most: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, w): each entity with the next `most` of its group in id order - peers without all pairs of a group.
+
+    Rows are ordered by group and id in ranges, numbered, and cut into blocks of `block` rows (more than `most`); the first `most` rows of a block also
+    go to the one before it. So no task holds a whole group, however large. Rows whose group is null form a group; repeated ids count as often as they occur.
+    """
+    rows = entities.select(F.col("id"), F.col(group).alias("g"))
+    ranged = _checkpointed(rows.repartitionByRange("g", "id").withColumn("part", F.spark_partition_id()))
+    # One row for each range: few, whatever the number of entities.
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    place = F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("g", "id")) - 1
+    placed = ranged.join(F.broadcast(before), "part").select("id", "g", place.alias("at"))
+    own = F.floor(F.col("at") / block)
+    also = F.when((F.col("at") % block < most) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    held = placed.select("id", "g", "at", own.alias("own"), F.explode(also).alias("block"))
+    order = W.partitionBy("block").orderBy("at")
+    nexts = [F.lead(F.struct("g", "id"), k).over(order) for k in range(1, most + 1)]
+    ahead = held.select(F.col("id").alias("a"), "g", (F.col("own") == F.col("block")).alias("mine"), F.array(*nexts).alias("next")).where("mine")
+    pairs = ahead.select("a", "g", F.explode("next").alias("n")).where(F.col("n").isNotNull() & F.col("n.g").eqNullSafe(F.col("g")))
+    return pairs.select("a", F.col("n.id").alias("b"), F.lit(weight).alias("w"))
 
 
 def peers(entities: DataFrame, kind: str, system: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lithic import vocab
 from lithic.engine import Engine, QueryError
 from lithic.functions import ids, text
-from lithic.operators import retrieval, split, versions
+from lithic.operators import communities, retrieval, split, versions
 from lithic.plans import q_graph
 from lithic.streaming import changes
 
@@ -132,3 +132,45 @@ def test_community_labels_has_both_kinds_of_peers(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(q_graph.communities, "label_propagation", lambda edges: edges)
     got = {(r.a, r.b, r.w) for r in q_graph.community_labels(spark, str(tmp_path)).where("w < 1").collect()}
     assert got == {("s1", "s2", 0.7), ("s1", "s2", 0.3), ("s1", "s3", 0.3), ("s2", "s3", 0.3)}
+
+
+def test_ring_over_block_edges(spark):
+    groups = {None: 7, "x": 40, "y": 1, "z": 3}
+    rows = [(f"{g}{i:03d}", g) for g, n in groups.items() for i in range(n)] + [("x005", "x")]
+    df = spark.createDataFrame(rows, "id string, kind string")
+    want = []
+    for g in groups:
+        held = sorted(i for i, k in rows if k == g)
+        want += [(a, b) for at, a in enumerate(held) for b in held[at + 1 : at + 4]]
+    for block in (3, 5, 1 << 16):
+        assert sorted((r.a, r.b) for r in communities.ring(df.repartition(5), "kind", 0.5, 3, block).collect()) == sorted(want)
+    assert communities.ring(df.where("false"), "kind", 0.5, 3).count() == 0
+
+
+def propagated(edges, rounds):
+    """Label propagation as plain loops: repeated edges count once by their most weight, both ways; no loops."""
+    near = {}
+    for a, b, w in edges:
+        if a != b:
+            for p, q in ((a, b), (b, a)):
+                near.setdefault(p, {})[q] = max(w, near.get(p, {}).get(q, 0))
+    labels = {n: n for n in near}
+    for _ in range(rounds):
+        new = {}
+        for n, around in near.items():
+            votes = {}
+            for m, w in around.items():
+                votes[labels[m]] = votes.get(labels[m], 0) + w
+            new[n] = min(votes, key=lambda c: (-round(votes[c], 9), c))
+        if new == labels:
+            break
+        labels = new
+    return labels
+
+
+def test_label_propagation_against_loops(spark):
+    edges = [(f"n{i}", f"n{(i * 7 + k) % 40}", 1.0 + (i * k) % 3 / 2) for i in range(40) for k in (1, 2, 5)] + [("n1", "n1", 9.0), ("n2", "n3", 0.5), ("n2", "n3", 0.5), ("p", "q", 0.3)]
+    df = spark.createDataFrame(edges, "a string, b string, w double")
+    for rounds in (1, 4):
+        assert {r.id: r.community for r in communities.label_propagation(df, rounds).collect()} == propagated(edges, rounds)
+    assert communities.label_propagation(df.where("false")).count() == 0
