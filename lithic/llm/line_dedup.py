@@ -111,7 +111,7 @@ def kept_places(docs: DataFrame, options: Options = Options(), id_col: str = "do
     nodes = stage(distinct.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "x.no_id", "x.id", "x.mark", "x.place", "x.bands"), "line-nodes")
     spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    cand = stage(spread.join(shared, "bucket").select("bucket", F.col("band").cast("byte").alias("band"), "node", F.lit(1).alias("size")), "line-cand")
+    cand = stage(spread.join(shared, "bucket").select("bucket", F.col("band").cast("byte").alias("band"), "node"), "line-cand")
     wanted = stage(cand.select("node").distinct().join(nodes.select("node", "h1", "h2"), "node"), "line-wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
     texts = lines.select("line", "h1", "h2").join(side, ["h1", "h2"]).select("node", "line").groupBy("node").agg(F.first("line").alias("items"))

@@ -1,18 +1,21 @@
 """Links between nodes that share buckets: verified by exact Jaccard similarity, joined to components.
 
 In a bucket nodes are compared with pivots, not with each other: at first with one in a few bands, which joins most of a
-large group while its nodes meet seldom, then with one in every band, then with eight times as many in each round, until a
+large group while its nodes meet seldom, then with one in every band, then with sixteen times as many in each round, until a
 bucket is one component or all its nodes were pivots. Nodes of one component are never compared: of a bucket, members of
 its largest component meet only the pivots outside it. So a large group of similar nodes costs a few comparisons each, and
 no link between components that share a bucket is left untested. A pair is tested by its sizes, then by sketches (four bits
 of each register; 4.2 standard deviations are allowed), and only then by its sets.
 
-Where nodes bring digests of their bands' keys, later rounds test a pair only in the first band that it shares, so that each
-pair is made once. A digest has 16 bits: an earlier band passes for shared by chance in one pair of 1,500 at most.
+Where nodes bring digests of their bands' keys, rounds of several pivots test a pair only in the first band that it shares,
+and of two pivots once, so that each pair is made once. A digest has 32 bits: an earlier band passes for shared by chance in
+one pair of 90 million at most.
+
+Rows of buckets are numbers only; sizes, sketches and digests are looked up for those that meet a pivot in the round.
 
 A bucket of many unlike nodes doesn't shrink this way. Where `split_over` is given, a bucket whose comparisons would exceed
-it is replaced by buckets of two keys: a pair in it must share a second key, whichever that is. With 44 bands of 8 registers
-a pair at 0.8 has a second key with probability 0.997; nothing else is left out, and no bucket is cut short.
+it is divided by the sizes of its nodes. Two sets at the threshold differ in size by that factor at most, so classes that
+overlap by it keep every pair that can be linked together: no result depends on whether a bucket was divided.
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ from pyspark.sql import functions as F
 from lithic.llm.common import stage, unstage
 from lithic.llm.components import components
 
-FIRST_BANDS, MORE_PIVOTS = 4, 8
-#: The band of buckets of two keys.
-TWO_KEYS = 127
+FIRST_BANDS, MORE_PIVOTS = 4, 16
+#: What a node is in a bucket and round.
+MEMBER, FRESH_PIVOT, OLD_PIVOT = 0, 1, 2
 
 
 #: Bits kept of each register, in as many planes: registers that differ show it with a chance of 15 in 16.
@@ -86,21 +89,17 @@ def _merged(known: DataFrame | None, merges: DataFrame) -> DataFrame:
     return stage(moved.unionByName(merges.join(known.select("node"), "node", "left_anti")), "link-known")
 
 
-def _two_keys(cand: DataFrame, hot: DataFrame) -> DataFrame:
-    """cand with the entries of hot buckets replaced by entries of buckets that stand for two keys."""
-    own = cand.join(hot, "bucket", "left_semi")
-    more = cand.where(F.col("band") != TWO_KEYS).select(F.col("bucket").alias("second"), "node")
-    pairs = own.join(more, "node").where("bucket <> second")
-    pairs = pairs.withColumn("bucket", F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second"))).withColumn("band", F.lit(TWO_KEYS).cast("byte")).drop("second").distinct()
-    return stage(cand.join(hot, "bucket", "left_anti").unionByName(pairs.select(*cand.columns)), "link-two-keys")
-
-
-_LANES = 0x0001000100010001
+def _by_size(cand: DataFrame, hot: DataFrame, about: DataFrame, threshold: float) -> DataFrame:
+    """cand with each hot bucket divided by sizes: a node enters its own class and the next, so that sizes within the threshold share one."""
+    own = cand.join(hot, "bucket", "left_semi").join(about.select("node", "size"), "node")
+    place = F.floor(F.log("size") / (1e-9 - math.log(threshold)))
+    parts = own.withColumn("class", F.explode(F.array(place, place + 1))).withColumn("bucket", F.xxhash64("bucket", "class"))
+    return stage(cand.join(hot, "bucket", "left_anti").unionByName(parts.select(*cand.columns)), "link-by-size")
 
 
 def digest_names(bands: int) -> list[str]:
-    """Columns of four 16-bit digests each, the first band's lowest."""
-    return [f"d{i}" for i in range(-(-bands // 4))]
+    """Columns of two 32-bit digests each, the first band's lowest."""
+    return [f"d{i}" for i in range(-(-bands // 2))]
 
 
 def _first_shared(names: list[str]) -> Column:
@@ -108,12 +107,9 @@ def _first_shared(names: list[str]) -> Column:
     out = F.lit(True)
     for w, name in enumerate(names):
         x = F.col(name).bitwiseXOR(F.col("other_" + name))
-        for step in (8, 4, 2, 1):  # the lowest bit of each lane becomes the OR of its bits
-            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
-        lanes = F.col("band").cast("int") - 4 * w
-        before = F.when(lanes >= 4, F.lit(_LANES)).when(lanes == 3, F.lit(_LANES >> 16)).when(lanes == 2, F.lit(_LANES >> 32)).when(lanes == 1, F.lit(1)).otherwise(0).cast("long")
-        out = out & (x.bitwiseAND(before) == before)
-    return out | (F.col("band") == TWO_KEYS)
+        for lane, digest in enumerate((x.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(x, 32))):
+            out = out & ((F.col("band") <= 2 * w + lane) | (digest != 0))
+    return out
 
 
 def _chosen(pivots: int) -> Column:
@@ -122,62 +118,67 @@ def _chosen(pivots: int) -> Column:
     return (F.xxhash64("node") == F.col("least")) | (F.col("n") <= pivots) | (share if pivots > 1 else F.lit(False))
 
 
-def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str] | None = None, registers: int = 0, split_over: int | None = None,
-           items: Callable[[Column], Column] | None = None, rough: Callable[[Column], Column] | None = None, digests: DataFrame | None = None) -> DataFrame | None:
-    """(node, component) of the nodes of cand (bucket, band, node, size, sketch...) that chains of similar nodes in common buckets connect.
+def linked(cand: DataFrame, sets: DataFrame, threshold: float, about: DataFrame | None = None, sketch: list[str] | None = None, registers: int = 0, split_over: int | None = None,
+           items: Callable[[Column], Column] | None = None, rough: Callable[[Column], Column] | None = None, digests: list[str] | None = None) -> DataFrame | None:
+    """(node, component) of the nodes of cand (bucket, band, node) that chains of similar nodes in common buckets connect.
 
-    sets has (node, items): arrays without repeats, or what `items` makes them of. None if nothing is linked.
+    sets has (node, items): arrays without repeats, or what `items` makes them of; about has (node, size, sketch..., digests...)
+    of each node. None if nothing is linked.
     """
-    sketch, own_digests = sketch or [], []
+    sketch, digests = sketch or [], digests or []
     known, pivots, before, few = None, 1, 0, True
     given, left = cand, cand
     while True:
         own = cand.where(F.col("band") < FIRST_BANDS) if few else left
-        columns = ["bucket", "band", "node", "size", *sketch, *own_digests]
+        columns = ["bucket", "band", "node"]
         members = own.select(*columns, F.col("node").alias("c"))
         if known is not None:
             members = stage(own.join(known, "node", "left").select(*columns, F.coalesce("component", "node").alias("c")), "link-members")
         parts = members.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.min(F.xxhash64("node")).alias("least"))
-        open_ = stage(parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max(F.struct("n", "c")).alias("x"), F.count("*").alias("k")).where("k > 1")
-                      .select("bucket", "n", "least", F.col("x.c").alias("most"), (F.col("n") - F.col("x.n")).alias("outside")), "link-open")
+        open_ = stage(parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.min(F.struct("least", "c")).alias("p"), F.max(F.struct("n", "c")).alias("x"), F.count("*").alias("k")).where("k > 1")
+                      .select("bucket", "n", F.col("p.least").alias("least"), F.col("p.c").alias("least_c"), F.col("x.c").alias("most"), (F.col("n") - F.col("x.n")).alias("outside")), "link-open")
         largest = open_.agg(F.max("n")).first()[0]
-        if split_over and not few and largest and pivots >= 64:
-            hot = open_.where(F.col("n") * F.col("outside") > split_over).join(cand.where(F.col("band") != TWO_KEYS).select("bucket").distinct(), "bucket", "left_semi").select("bucket")
+        if split_over and about is not None and not few and largest and pivots >= MORE_PIVOTS:
+            hot = open_.where(F.col("n") * F.col("outside") > split_over).select("bucket")
             if not hot.isEmpty():
-                now = _two_keys(cand, hot)
-                unstage(left if left is not given else None)
-                cand, left, split_over, pivots, before, own_digests = now, now, None, 1, 0, []
-                unstage(open_)
+                now = _by_size(left, hot, about, threshold)
+                for x in (members, open_, left if left is not given else None):
+                    unstage(x)
+                left, split_over, pivots, before = now, None, 1, 0
                 continue
         still = None
         if largest is not None:
             # The pairs of the pivots of earlier rounds were tested then, in other bands and buckets too for the most part.
-            fresh = _chosen(pivots) if not before else _chosen(pivots) & ~(_chosen(before) & (F.lit(True) if before > 1 or pivots > 1 else F.col("band") < FIRST_BANDS))
-            still = stage(members.join(open_, "bucket").select(*columns, "c", (F.col("c") != F.col("most")).alias("outside"), fresh.alias("pivot")), "link-still")
-            chosen = still.where("pivot").select("bucket", F.explode(F.when(F.col("outside"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("outside"), F.col("node").alias("other"),
-                                                 F.col("size").alias("other_size"), F.col("c").alias("other_c"), *[F.col(s).alias("other_" + s) for s in [*sketch, *own_digests]])
-            near = F.least("size", "other_size") >= threshold * F.greatest("size", "other_size") - 1e-9
+            old = (_chosen(before) & (F.lit(True) if before > 1 or pivots > 1 else F.col("band") < FIRST_BANDS)) if before else F.lit(False)
+            part = F.when(old, OLD_PIVOT).when(_chosen(pivots), FRESH_PIVOT).otherwise(MEMBER)
+            # One pivot alone meets the nodes of other components than its own, where it is new.
+            meets = (F.col("c") != F.col("least_c")) & (F.col("band") >= (FIRST_BANDS if before else 0)) if pivots == 1 else F.lit(True)
+            outside = (F.col("c") != F.col("most")).alias("outside")
+            still = stage(members.join(open_, "bucket").select(*columns, "c", "n", outside, part.cast("byte").alias("part"), meets.alias("meets")), "link-still")
+            extra = digests if pivots > 1 else []
+            wide = [] if about is None else ["size", *sketch, *extra]
+            of = (lambda rows: rows) if about is None else (lambda rows: rows.join(about.select("node", *wide), "node"))
+            chosen = of(still.where(F.col("part") == FRESH_PIVOT)).select(
+                "bucket", F.explode(F.when(F.col("outside"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("outside"), F.col("node").alias("other"), F.col("c").alias("other_c"), *[F.col(s).alias("other_" + s) for s in wide])
+            near = F.lit(True) if about is None else F.least("size", "other_size") >= threshold * F.greatest("size", "other_size") - 1e-9
             if sketch:
                 near = near & (_differences(sketch) <= most_differences(registers, threshold))
-            if own_digests:
-                near = near & _first_shared(own_digests)
+            if extra:
+                near = near & _first_shared(extra)
             first = F.col("node") < F.col("other")
-            pairs = still.join(chosen, ["bucket", "outside"]).where((F.col("c") != F.col("other_c")) & near).select(
+            meeting = of(still.where((F.col("part") != OLD_PIVOT) & F.col("meets")))
+            pairs = meeting.join(chosen, ["bucket", "outside"]).where((F.col("c") != F.col("other_c")) & ((F.col("part") == MEMBER) | first) & near).select(
                 F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), F.when(first, F.col("c")).otherwise(F.col("other_c")).alias("cu"), F.when(first, F.col("other_c")).otherwise(F.col("c")).alias("cv")).distinct()
             found = stage(_similar(pairs, sets, threshold, items, rough).distinct(), "link-found")
             if not found.isEmpty():
-                old, known = known, _merged(known, components(found))
-                unstage(old)
+                old_known, known = known, _merged(known, components(found))
+                unstage(old_known)
             unstage(found)
-        # A bucket that is one component stays one: only the others go on.
-        go_on = not few and largest is not None and largest > pivots
+        # A bucket that is one component stays one, and in one whose nodes were all pivots (or all but one) every pair was tested: only the others go on.
+        go_on = not few and largest is not None and largest > max(pivots, 2)
         if go_on:
-            more = still.select(*columns)
-            if digests is not None and not own_digests:
-                own_digests = [c for c in digests.columns if c != "node"]
-                more = more.join(digests, "node")
-            old, left = left, stage(more, "link-left")
-            unstage(old if old is not given and old is not cand else None)
+            done, left = left, stage(still.where(F.col("n") > max(pivots, 2)).select(*columns), "link-left")
+            unstage(done if done is not given else None)
         for x in (members, open_, still):
             unstage(x)
         if few:
@@ -186,6 +187,5 @@ def linked(cand: DataFrame, sets: DataFrame, threshold: float, sketch: list[str]
             before, pivots = pivots, pivots * MORE_PIVOTS
         else:
             break
-    for x in (left, cand):
-        unstage(x if x is not given else None)
+    unstage(left if left is not given else None)
     return known

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -128,17 +128,10 @@ def _setter(k: int):
     return sets
 
 
-def _digests(nodes: DataFrame, wanted: DataFrame, bands: int) -> DataFrame:
-    """(node, d0...) of the wanted nodes: the lowest 16 bits of each band's key, four to a column."""
-    low = lambda band: F.shiftleft(F.coalesce(F.get("bands", F.lit(band)), F.lit(0)).bitwiseAND(0xFFFF), 16 * (band % 4))
-    packed = []
-    for w, name in enumerate(digest_names(bands)):
-        lanes = [low(b) for b in range(4 * w, min(4 * w + 4, bands))]
-        out = lanes[0]
-        for lane in lanes[1:]:
-            out = out.bitwiseOR(lane)
-        packed.append(out.alias(name))
-    return nodes.join(wanted.select("node"), "node", "left_semi").select("node", *packed)
+def _digests(bands: int) -> list[Column]:
+    """d0...: the lowest 32 bits of each band's key, two to a column."""
+    low = lambda band: F.coalesce(F.get("bands", F.lit(band)), F.lit(0)).bitwiseAND(0xFFFFFFFF)
+    return [(low(2 * w).bitwiseOR(F.shiftleft(low(2 * w + 1), 32)) if 2 * w + 1 < bands else low(2 * w)).alias(name) for w, name in enumerate(digest_names(bands))]
 
 
 def _rows(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, id_col: str, text_col: str, split_over: int) -> DataFrame:
@@ -156,15 +149,14 @@ def _rows(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, id_c
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = stage(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "near-shared")
-    hits = stage(spread.join(shared, "bucket").select("bucket", "node", F.col("band").cast("byte").alias("band")), "near-hits")
-    wanted = stage(hits.select("node").distinct().join(nodes.select("node", F.col("row.id").alias("id"), "fp", "size", *sketch), "node"), "near-wanted")
-    cand = stage(hits.join(wanted.select("node", "size", *sketch), "node"), "near-cand")
+    cand = stage(spread.join(shared, "bucket").select("bucket", F.col("band").cast("byte").alias("band"), "node"), "near-cand")
+    wanted = stage(cand.select("node").distinct().join(nodes.select("node", F.col("row.id").alias("id"), "fp", "size", *sketch, *_digests(bands)), "node"), "near-wanted")
     chosen = stage(wanted.select(F.col("id").alias(OWN + "id")).distinct(), "near-chosen")
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
     texts = source.join(side, source["id"].eqNullSafe(side[OWN + "id"]), "left_semi").select("text")
     made = texts.mapInArrow(_setter(k), "fp binary, items array<long>").join(wanted.select("fp", "node"), "fp")
     sets = stage(made.groupBy("node").agg(F.first("items").alias("items")), "near-sets")
-    known = linked(cand, sets, threshold, sketch, bands * rows, split_over, digests=_digests(nodes, wanted, bands))
+    known = linked(cand, sets, threshold, wanted, sketch, bands * rows, split_over, digests=digest_names(bands))
     named = nodes.select("fp", "row", "n", F.col("node").alias("c"))
     if known is not None:
         named = nodes.join(known, "node", "left").select("fp", "row", "n", F.coalesce("component", "node").alias("c"))
@@ -172,7 +164,7 @@ def _rows(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, id_c
     classes = stage(named.groupBy("c").agg(F.min("row").alias("row"), F.sum("n").alias("class_size")), "near-classes")
     # Only nodes that hold several rows, or belong to a class of several, are looked up; other rows stand alone.
     of = stage(named.join(classes.where("class_size > 1"), "c").select("fp", classes["row"], "class_size"), "near-of")
-    for x in (nodes, shared, hits, wanted, cand, chosen, sets, known, named, classes):
+    for x in (nodes, shared, wanted, cand, chosen, sets, known, named, classes):
         unstage(x)
     out = signed.select("id", "mark", "uid", "fp").join(of, "fp", "left")
     alone = F.col("class_size").isNull()

@@ -242,6 +242,39 @@ def test_near_buckets_of_two_keys(spark):
     assert got == {i: rows[k][0] for (i, _), k in zip(rows, of, strict=True)}
 
 
+@pytest.mark.parametrize("bands", [1, 2])
+def test_near_large_buckets_lose_nothing(spark, bands):
+    """Copies that share one bucket alone, and that bucket is larger than is compared at once: they are found all the same."""
+    shared = prose(150, 4242)
+    rows = [(i, shared + " " + prose(45 + 15 * (i % 3), 9000 + i)) for i in range(150)]
+    rows += [(300 + i, edited(t, 2, i)) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = [sorted((r.id, r.class_id) for r in near_dedup.near_duplicates(df, bands=bands, rows=1, split_over=n).collect()) for n in (1 << 30, 500)]
+    assert classes[0] == classes[1]
+    assert sum(i != c for i, c in classes[0]) > 60 * bands
+
+
+def test_links_of_a_large_bucket(spark):
+    """Nodes of one bucket, twins among them: all twins are linked, divided by sizes or not, and nodes of no other bucket are."""
+    sets = [list(range(1000 * i, 1000 * i + 20 + i % 50)) for i in range(150)]
+    sets += [[*x[:-1], -1 - i] if i % 2 else x[len(x) // 5:] for i, x in enumerate(sets)]  # of the odd ones one item differs, of the even ones a fifth is left out
+    cand = spark.createDataFrame([(7, 0, i) for i in range(300)], "bucket long, band int, node long").selectExpr("bucket", "CAST(band AS byte) AS band", "node")
+    about = spark.createDataFrame([(i, len(x)) for i, x in enumerate(sets)], "node long, size long")
+    items = spark.createDataFrame(list(enumerate(sets)), "node long, items array<long>")
+    of = components([set(x) for x in sets], 0.8)
+    for split_over in (None, 10):
+        got = {r.node: r.component for r in links.linked(cand, items, 0.8, about, split_over=split_over).collect()}
+        assert got == {i: c for i, c in enumerate(of) if of.count(c) > 1} and len(got) == 300
+
+
+def test_first_shared_band(spark):
+    """A pair is left to an earlier band only where that band's digests are equal in all their 32 bits."""
+    low, high = 5, -7 << 32
+    df = spark.createDataFrame([(k, low | high, other, 0, 0) for k in range(5) for other in (low + (1 << 16) | high, low | high + (1 << 48))], "band int, d0 long, other_d0 long, d1 long, other_d1 long")
+    got = [r.ok for r in df.select(links._first_shared(links.digest_names(4)).alias("ok")).collect()]
+    assert got == [True, True, True, False, False, False, False, False, False, False]
+
+
 def test_hash_of_long_words():
     """A word's hash doesn't depend on where segments of the text begin."""
     word = "ab" * 100_000
