@@ -12,7 +12,7 @@ without all pairs is in lithic.llm.links. Four bits of each register make the sk
 Defined results: null or empty text (and text of white space alone) has no shingles; all such documents are copies of each
 other. A text of one to four words is one shingle. Null ids form classes like others and a class's id is its least id that
 is not null. A row is known by its id and text: rows that repeat an id with other texts are decided by themselves, and of rows
-that repeat both one stays. An empty table gives no rows. Other columns are never looked at.
+that repeat both the one whose other columns come first, as JSON, stays. An empty table gives no rows. Other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -190,6 +190,9 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int =
     whole = docs.join(side, docs[id_col].eqNullSafe(side[own_id]) & (F.xxhash64(text_or_empty(text_col)) == side[own_mark]), "left")
     out = whole.where(F.col(own_mark).isNull())
     if not looked.where(kept).isEmpty():  # a row that names its class and is repeated: one of the equal rows stays
-        out = out.unionByName(whole.where(F.col(kept)).dropDuplicates([own_id, own_mark]))
+        rest = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
+        order = F.to_json(F.struct(F.lit(0), *rest), {"ignoreNullFields": "false"})
+        equal = whole.where(F.col(kept)).groupBy(own_id, own_mark).agg(F.min_by(F.struct(*docs.columns), order).alias(OWN + "row"))
+        out = out.unionByName(equal.select(f"{OWN}row.*", F.lit(None).cast("boolean").alias(kept)), allowMissingColumns=True)
     unstage(found)
     return out.select(*docs.columns)

@@ -275,6 +275,16 @@ def test_first_shared_band(spark):
     assert got == [True, True, True, False, False, False, False, False, False, False]
 
 
+def test_near_dedup_ties_by_other_columns(spark, monkeypatch):
+    """Of rows that repeat id and text the least by its other columns stays, however many rows are looked up and in whatever order."""
+    rows = [(1, prose(40, 1), x, None) for x in "cabd"] + [(2, prose(40, 2), "z", 5), (2, prose(40, 2), "z", 4), (None, "null id", "b", 1), (None, "null id", "a", 2)]
+    for order in (rows, rows[::-1]):
+        for bound in (near_dedup.BROADCAST_IDS, 0):
+            monkeypatch.setattr(near_dedup, "BROADCAST_IDS", bound)
+            kept = near_dedup.near_dedup(spark.createDataFrame(order, "doc_id long, text string, source string, n long")).collect()
+            assert sorted((r.doc_id or 0, r.source, r.n) for r in kept) == [(0, "a", 2), (1, "a", None), (2, "z", 4)]
+
+
 def test_hash_of_long_words():
     """A word's hash doesn't depend on where segments of the text begin."""
     word = "ab" * 100_000
