@@ -134,6 +134,13 @@ def _digests(bands: int) -> list[Column]:
     return [(low(2 * w).bitwiseOR(F.shiftleft(low(2 * w + 1), 32)) if 2 * w + 1 < bands else low(2 * w)).alias(name) for w, name in enumerate(digest_names(bands))]
 
 
+def _narrowed(wide: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """The columns that are still needed, staged; the wide stage (bands and sketches: some 500 bytes a row) goes, so that the linking's rounds don't lie on disk beside it."""
+    out = stage(wide.select(*columns), name)
+    unstage(wide)
+    return out
+
+
 def _rows(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, id_col: str, text_col: str, split_over: int) -> DataFrame:
     """(id, mark, class_id, class_size, kept) of each row; mark tells rows of one id but different texts apart."""
     text = text_or_empty(text_col)
@@ -147,10 +154,12 @@ def _rows(docs: DataFrame, threshold: float, k: int, bands: int, rows: int, id_c
     nodes = signed.groupBy("fp").agg(least.alias("x"), F.count("*").alias("n")).select("fp", "x.row", "n", "x.size", "x.bands", *[f"x.{x}" for x in sketch])
     # From here on a node is a number: what is shuffled per band is two of them.
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    signed = _narrowed(signed, ["id", "mark", "uid", "fp"], "near-rows-of")
     spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = stage(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "near-shared")
     cand = stage(spread.join(shared, "bucket").select("bucket", F.col("band").cast("byte").alias("band"), "node"), "near-cand")
     wanted = stage(cand.select("node").distinct().join(nodes.select("node", F.col("row.id").alias("id"), "fp", "size", *sketch, *_digests(bands)), "node"), "near-wanted")
+    nodes = _narrowed(nodes, ["fp", "row", "n", "node"], "near-nodes-of")
     chosen = stage(wanted.select(F.col("id").alias(OWN + "id")).distinct(), "near-chosen")
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
     texts = source.join(side, source["id"].eqNullSafe(side[OWN + "id"]), "left_semi").select("text")

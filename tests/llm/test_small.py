@@ -1,6 +1,7 @@
 """Each dealt operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, and against brute force."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lithic.llm import automaton, ctw, decontam, exact_dedup, line_dedup, links, near_dedup, packing, quality, token_counts, toxicity, url_filter, words
-from lithic.llm.common import fold
+from lithic.llm.common import fold, shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, fp string, id string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -242,6 +243,21 @@ def test_near_buckets_of_two_keys(spark):
     assert got == {i: rows[k][0] for (i, _), k in zip(rows, of, strict=True)}
 
 
+def test_near_linking_has_no_wide_stages_beside_it(spark, monkeypatch):
+    folder, held = shared_dir(spark).removeprefix("file:"), []
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()  # results of other tests
+
+    def looked(cand, *a, **k):
+        held.extend(name for name in set(os.listdir(folder)) - before if name.startswith(("near-signed", "near-nodes", "near-rows-of")))
+        return links.linked(cand, *a, **k)
+
+    monkeypatch.setattr(near_dedup, "linked", looked)
+    rows = [(i, edited(BASE, 2, i)) for i in range(4)] + [(9, prose(60, 9))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["id"], r["class_id"]) for r in got) == [(0, 0), (1, 0), (2, 0), (3, 0), (9, 9)]
+    assert sorted(name.rsplit("-", 1)[0] for name in held) == ["near-nodes-of", "near-rows-of"]  # neither has bands or sketches
+
+
 @pytest.mark.parametrize("bands", [1, 2])
 def test_near_large_buckets_lose_nothing(spark, bands):
     """Copies that share one bucket alone, and that bucket is larger than is compared at once: they are found all the same."""
