@@ -6,7 +6,8 @@ characters, sorted: those that begin with a word, with a to m or a character bey
 (what a shingle begins with depends on it alone, so the similarity of these subsets estimates that of the whole sets), else
 all; about the border both are taken. The
 leading bits of the hashes divide them into eight bands; a band's key is its least hash and the two after it. Lines that
-share a key are compared with pivots instead of all pairs: by their shingles that begin with a word, whose similarity may
+share a key are compared with pivots instead of all pairs: by sizes and 512 bits of parity of all their shingles (which pass
+every pair at the threshold), by their shingles that begin with a word, whose similarity may
 lie 4.2 standard deviations below the threshold, and then by the exact Jaccard similarity of all their shingles. Links are joined to components by distributed union-find. Of a component the first line stays, by document id and place.
 
 Eight bands of three rows find a pair whose subsets have similarity s with probability 1 - (1 - s^3)^8, 0.997 at 0.8; sets
@@ -26,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithic.llm.common import OWN, stage, text_or_empty, unstage
-from lithic.llm.links import linked
+from lithic.llm.links import linked, parity_names, parity_words
 
 #: Candidate lines are broadcast up to this many (some 100 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_LINES = 300_000
+#: 64-bit words of parity of a line's shingles.
+PARITY = 8
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -116,7 +119,8 @@ def kept_places(docs: DataFrame, options: Options = Options(), id_col: str = "do
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
     texts = lines.select("line", "h1", "h2").join(side, ["h1", "h2"]).select("node", "line").groupBy("node").agg(F.first("line").alias("items"))
     texts = stage(texts, "line-texts")
-    known = linked(cand, texts, o.threshold, items=lambda line: shingles(line, o.shingle), rough=lambda line: at_words(line, o.shingle))
+    about = stage(parity_words(texts.select("node", F.explode(shingles(F.col("items"), o.shingle)).alias("item")), PARITY), "line-about")
+    known = linked(cand, texts, o.threshold, about, parities=parity_names(PARITY), items=lambda line: shingles(line, o.shingle), rough=lambda line: at_words(line, o.shingle))
     place = F.struct("no_id", "id", "mark", "place")
     best = nodes.select("node", "id", "mark", "place")
     gone = None
@@ -126,7 +130,7 @@ def kept_places(docs: DataFrame, options: Options = Options(), id_col: str = "do
         best = best.join(F.broadcast(gone) if gone.count() <= BROADCAST_LINES else gone, "node", "left_anti")
         unstage(members)
     out = stage(best.groupBy("id", "mark").agg(F.sort_array(F.collect_list("place")).alias("kept")), "line-kept")
-    for x in (cand, wanted, texts, known, gone, nodes):
+    for x in (cand, wanted, texts, about, known, gone, nodes):
         unstage(x)
     return out
 

@@ -57,6 +57,29 @@ def _differences(sketch: list[str]) -> Column:
     return count
 
 
+def parity_words(sets: DataFrame, words: int) -> DataFrame:
+    """(node, size, p0, p1, ...) of rows (node, item) without repeats: whether an odd number of items has each of 64 x words hashes.
+
+    Two sets differ in as many items as their parities differ in bits, or more.
+    """
+    hashed = sets.select("node", F.xxhash64("item").alias("h"))
+    bit = F.expr("shiftleft(1L, CAST(h & 63 AS INT))")
+    word = F.pmod(F.shiftright("h", 6), F.lit(words))
+    return hashed.groupBy("node").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(name) for i, name in enumerate(parity_names(words))])
+
+
+def parity_names(words: int) -> list[str]:
+    return [f"p{i}" for i in range(words)]
+
+
+def _parities_allow(names: list[str], threshold: float) -> Column:
+    """False only for sets below the threshold: those at it differ in (1 - t) / (1 + t) of the sum of their sizes at most."""
+    bits = F.lit(0)
+    for name in names:
+        bits = bits + F.bit_count(F.col(name).bitwiseXOR(F.col("other_" + name)))
+    return bits * (1 + threshold) <= (1 - threshold) * (F.col("size") + F.col("other_size")) + 1e-6
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float, items: Callable[[Column], Column] | None = None, rough: Callable[[Column], Column] | None = None) -> DataFrame:
     """The pairs whose sets' exact Jaccard similarity reaches the threshold, as links between their components.
 
@@ -119,13 +142,13 @@ def _chosen(pivots: int) -> Column:
 
 
 def linked(cand: DataFrame, sets: DataFrame, threshold: float, about: DataFrame | None = None, sketch: list[str] | None = None, registers: int = 0, split_over: int | None = None,
-           items: Callable[[Column], Column] | None = None, rough: Callable[[Column], Column] | None = None, digests: list[str] | None = None) -> DataFrame | None:
+           items: Callable[[Column], Column] | None = None, rough: Callable[[Column], Column] | None = None, digests: list[str] | None = None, parities: list[str] | None = None) -> DataFrame | None:
     """(node, component) of the nodes of cand (bucket, band, node) that chains of similar nodes in common buckets connect.
 
-    sets has (node, items): arrays without repeats, or what `items` makes them of; about has (node, size, sketch..., digests...)
-    of each node. None if nothing is linked.
+    sets has (node, items): arrays without repeats, or what `items` makes them of; about has (node, size, sketch..., digests...,
+    parities...) of each node. None if nothing is linked.
     """
-    sketch, digests = sketch or [], digests or []
+    sketch, digests, parities = sketch or [], digests or [], parities or []
     known, pivots, before, few = None, 1, 0, True
     given, left = cand, cand
     while True:
@@ -156,13 +179,15 @@ def linked(cand: DataFrame, sets: DataFrame, threshold: float, about: DataFrame
             outside = (F.col("c") != F.col("most")).alias("outside")
             still = stage(members.join(open_, "bucket").select(*columns, "c", "n", outside, part.cast("byte").alias("part"), meets.alias("meets")), "link-still")
             extra = digests if pivots > 1 else []
-            wide = [] if about is None else ["size", *sketch, *extra]
+            wide = [] if about is None else ["size", *sketch, *parities, *extra]
             of = (lambda rows: rows) if about is None else (lambda rows: rows.join(about.select("node", *wide), "node"))
             chosen = of(still.where(F.col("part") == FRESH_PIVOT)).select(
                 "bucket", F.explode(F.when(F.col("outside"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("outside"), F.col("node").alias("other"), F.col("c").alias("other_c"), *[F.col(s).alias("other_" + s) for s in wide])
             near = F.lit(True) if about is None else F.least("size", "other_size") >= threshold * F.greatest("size", "other_size") - 1e-9
             if sketch:
                 near = near & (_differences(sketch) <= most_differences(registers, threshold))
+            if parities:
+                near = near & _parities_allow(parities, threshold)
             if extra:
                 near = near & _first_shared(extra)
             first = F.col("node") < F.col("other")

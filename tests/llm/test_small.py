@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lithic.llm import automaton, ctw, decontam, exact_dedup, line_dedup, links, near_dedup, packing, quality, token_counts, toxicity, url_filter, words
 from lithic.llm.common import fold, shared_dir
@@ -258,6 +259,44 @@ def test_near_linking_has_no_wide_stages_beside_it(spark, monkeypatch):
     assert sorted(name.rsplit("-", 1)[0] for name in held) == ["near-nodes-of", "near-rows-of"]  # neither has bands or sketches
 
 
+def test_parities_pass_every_pair_at_the_threshold(spark):
+    r = np.random.default_rng(8)
+    sets, pairs = {}, []
+    for i in range(60):
+        n = int(r.integers(20, 400))
+        both = [f"{i}-{j}" for j in range(n)]
+        for share in (0.81, 0.9, 0.4, 0.2):  # of the union; what is left is divided between the two
+            more = [f"{i}-{share}-{j}" for j in range(int(n / share) - n)]
+            half = int(r.integers(0, len(more) + 1))
+            u = len(sets)
+            sets[u], sets[u + 1] = both + more[:half], both + more[half:]
+            pairs.append((u, u + 1, n / (n + len(more))))
+    about = links.parity_words(spark.createDataFrame([(u, x) for u, items in sets.items() for x in items], "node long, item string"), 8)
+    names = links.parity_names(8)
+    rows = {x["node"]: x for x in about.collect()}
+    assert {u: x["size"] for u, x in rows.items()} == {u: len(items) for u, items in sets.items()}
+    met = spark.createDataFrame(pairs, "u long, v long, s double").join(about.withColumnRenamed("node", "u"), "u")
+    met = met.join(about.select(F.col("node").alias("v"), *[F.col(c).alias("other_" + c) for c in ("size", *names)]), "v")
+    got = {(x["u"], x["v"]): (x["s"], x["ok"]) for x in met.select("u", "v", "s", links._parities_allow(names, 0.8).alias("ok")).collect()}
+    assert len(got) == len(pairs) and all(ok for s, ok in got.values() if s >= 0.8)
+    assert sum(ok for s, ok in got.values() if s < 0.5) <= 12  # of 120
+
+
+def test_lines_unlike_pairs_are_dropped_before_their_texts_are_read(spark, monkeypatch):
+    seen, old = [], links._similar
+
+    def looked(pairs, *a, **k):
+        seen.append(pairs.count())
+        return old(pairs, *a, **k)
+
+    monkeypatch.setattr(links, "_similar", looked)
+    shared = "a long common beginning made of many words that all of these lines have in front "
+    lines = [shared + prose(12, 700 + i) for i in range(60)] + [shared + prose(12, 700) + " x"]
+    got = line_dedup.line_decisions(spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")).collect()
+    assert [r["id"] for r in got if r["dropped"]] == [60]
+    assert 1 <= max(seen) <= 20  # several hundred pairs of half their shingles share a band
+
+
 @pytest.mark.parametrize("bands", [1, 2])
 def test_near_large_buckets_lose_nothing(spark, bands):
     """Copies that share one bucket alone, and that bucket is larger than is compared at once: they are found all the same."""
