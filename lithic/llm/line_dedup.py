@@ -7,8 +7,9 @@ characters, sorted: those that begin with a word, with a to m or a character bey
 all; about the border both are taken. The
 leading bits of the hashes divide them into eight bands; a band's key is its least hash and the two after it. Lines that
 share a key are compared with pivots instead of all pairs: by sizes and 512 bits of parity of all their shingles (which pass
-every pair at the threshold), by their shingles that begin with a word, whose similarity may
-lie 4.2 standard deviations below the threshold, and then by the exact Jaccard similarity of all their shingles. Links are joined to components by distributed union-find. Of a component the first line stays, by document id and place.
+every pair at the threshold), by hashes of their shingles that begin with a word, whose similarity may
+lie 4.2 standard deviations below the threshold, and then by the exact Jaccard similarity of all their shingles; of two
+components the likeliest pair first, the others only where it is no link. Links are joined to components by distributed union-find. Of a component the first line stays, by document id and place.
 
 Eight bands of three rows find a pair whose subsets have similarity s with probability 1 - (1 - s^3)^8, 0.997 at 0.8; sets
 of fewer than sixteen have rows of two and fewer, overlapping bands. A test measures the recall against brute force.
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from lithic.llm.common import OWN, stage, text_or_empty, unstage
 from lithic.llm.links import linked, parity_names, parity_words
 
-#: Candidate lines are broadcast up to this many (some 100 bytes each); beyond it they are joined by a shuffle.
+#: Lines that go are broadcast up to this many (some 100 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_LINES = 300_000
+#: So are candidate lines and shared keys, rows of two or three numbers (some 50 bytes each).
+BROADCAST_KEYS = 1_000_000
 #: 64-bit words of parity of a line's shingles.
 PARITY = 8
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -49,21 +52,32 @@ def _normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(WHITE_SPACE)))
 
 
+def _blank(line: Column) -> Column:
+    return F.ltrim(line, F.lit(WHITE_SPACE)) == ""
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, mark, place, line, h1, h2): the lines that aren't blank, normalised; mark tells documents with one id apart."""
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.posexplode(F.split(text, "\n")).alias("place", "raw"))
-    return rows.select("id", "mark", "place", _normal(F.col("raw")).alias("line")).where("line <> ''").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), F.col("line"))})
+    return rows.where(~_blank(F.col("raw"))).select("id", "mark", "place", _normal(F.col("raw")).alias("line")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), F.col("line"))})
+
+
+def _texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(node, items): the normalised line of each row of wanted (node, h1, at: the hash of the document's mark and the place)."""
+    text = text_or_empty(text_col)
+    rows = docs.select(F.xxhash64(text).alias("mark"), F.posexplode(F.split(text, "\n")).alias("place", "raw"))
+    found = rows.select(F.xxhash64("mark", "place").alias("at"), "raw").join(wanted, "at").select("node", "h1", _normal(F.col("raw")).alias("line"))
+    return found.where(F.xxhash64("line") == F.col("h1")).groupBy("node").agg(F.first("line").alias("items"))
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value) with the value worked out once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+def _runs(line: Column, k: int) -> Column:
+    return F.when(F.length(line) <= k, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
 
 
 def shingles(line: Column, k: int) -> Column:
     """The distinct runs of k characters; a shorter line is one shingle."""
-    return F.when(F.length(line) <= k, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))))
+    return F.array_distinct(_runs(line, k))
 
 
 def at_words(line: Column, k: int, begin: str = "") -> Column:
@@ -75,34 +89,35 @@ def _hashed(runs: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x))))
 
 
-def _keys(sketch: Column, kind: int, bits: int, rows: int) -> Column:
-    """A key for each pattern of leading bits, of sorted hashes: the least hash from there on and those that follow, the first after the last."""
-    edges = [(n << (64 - bits)) - (1 << 63) for n in range(1 << bits)]
-
-    def of(with_edges: Column) -> Column:
-        at = F.array(*[(F.array_position(with_edges, F.lit(e).cast("long")) - (1 + n)).cast("int") for n, e in enumerate(edges)])
-        inside = F.filter(F.array_distinct(at), lambda i: i < F.size(sketch))
-        return F.transform(inside, lambda i: F.xxhash64(F.lit(kind), *[F.get(sketch, (i + j) % F.size(sketch)) for j in range(rows)]))
-
-    return _let(F.sort_array(F.concat(sketch, F.array(*[F.lit(e).cast("long") for e in edges]))), of)
+def _with_bands(lines: DataFrame, o: Options) -> DataFrame:
+    """lines and their keys as column bands. Each array is a column of its own, so that it is made once and by generated code where there is some."""
+    nothing = F.expr("CAST(array() AS array<bigint>)")
+    edges = [F.lit((n << 61) - (1 << 63)).cast("long") for n in range(8)]
 
+    def places(df: DataFrame, sketch: str) -> DataFrame:
+        """Where in the sorted hashes those of each three leading bits begin, each place once; their number where none follow."""
+        df = df.withColumn(OWN + "x", F.sort_array(F.concat(sketch, F.array(*edges))))
+        return df.withColumn(sketch + "_places", F.array_distinct(F.array(*[(F.array_position(OWN + "x", e) - (1 + n)).cast("int") for n, e in enumerate(edges)]))).drop(OWN + "x")
 
-def _bands(line: Column, o: Options) -> Column:
-    """The keys of a line."""
-    nothing = F.expr("CAST(array() AS array<bigint>)")
+    def keys(sketch: str, kind: int, rows: int) -> Column:
+        """A key for each of those places: the least hash from there on and those that follow, the first after the last."""
+        n = F.size(sketch)
+        return F.transform(sketch + "_places", lambda i: F.when(i < n, F.xxhash64(F.lit(kind), *[F.get(sketch, (i + j) % n) for j in range(rows)])))
 
-    def both(runs: Column, kind: int) -> Column:
-        small = F.when(F.size(runs) < o.few_border, _keys(runs, kind, 3, 2)).otherwise(nothing)
-        return F.concat(small, F.when(F.size(runs) >= o.few, _keys(runs, kind + 1, 3, 3)).otherwise(nothing))
+    def both(sketch: str, least: int, kind: int) -> list[Column]:
+        n = F.size(sketch)
+        return [F.when((n >= least) & (n < o.few_border), keys(sketch, kind, 2)).otherwise(nothing), F.when((n >= least) & (n >= o.few), keys(sketch, kind + 1, 3)).otherwise(nothing)]
 
-    def of_all(runs: Column) -> Column:
-        return F.when(F.size(runs) == 1, F.array(F.xxhash64(F.lit(0), F.get(runs, F.lit(0))))).otherwise(both(runs, 1))
+    df = places(lines.withColumn("at", _hashed(at_words(F.col("line"), o.shingle, "[a-m\u0080-\uffff]"))), "at")
+    df = places(df.withColumn("all", F.when(F.size("at") < o.border, _hashed(_runs(F.col("line"), o.shingle))).otherwise(nothing)), "all")
+    single = F.when(F.size("all") == 1, F.array(F.xxhash64(F.lit(0), F.get("all", F.lit(0))))).otherwise(nothing)
+    found = F.concat(*both("at", o.enough_words, 3), single, *both("all", 2, 1))
+    return df.withColumn("bands", F.array_except(found, F.expr("array(CAST(NULL AS bigint))"))).drop("at", "all", "at_places", "all_places")
 
-    def of_words(runs: Column) -> Column:
-        own = F.when(F.size(runs) >= o.enough_words, both(runs, 3)).otherwise(nothing)
-        return F.concat(own, F.when(F.size(runs) < o.border, _let(_hashed(shingles(line, o.shingle)), of_all)).otherwise(nothing))
 
-    return F.array_distinct(_let(_hashed(at_words(line, o.shingle, "[a-m\u0080-\uffff]")), of_words))
+def _few(rows: DataFrame, most: int) -> DataFrame:
+    """Staged rows, broadcast if they are no more than that; else they are joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def kept_places(docs: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,17 +125,16 @@ def kept_places(docs: DataFrame, options: Options = Options(), id_col: str = "do
     o = options
     lines = _lines(docs, id_col, text_col)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "place", "bands"))
-    distinct = lines.withColumn("bands", _bands(F.col("line"), o)).groupBy("h1", "h2").agg(first.alias("x"))
+    distinct = _with_bands(lines, o).groupBy("h1", "h2").agg(first.alias("x"))
     nodes = stage(distinct.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "x.no_id", "x.id", "x.mark", "x.place", "x.bands"), "line-nodes")
     spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    cand = stage(spread.join(shared, "bucket").select("bucket", F.col("band").cast("byte").alias("band"), "node"), "line-cand")
-    wanted = stage(cand.select("node").distinct().join(nodes.select("node", "h1", "h2"), "node"), "line-wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
-    texts = lines.select("line", "h1", "h2").join(side, ["h1", "h2"]).select("node", "line").groupBy("node").agg(F.first("line").alias("items"))
-    texts = stage(texts, "line-texts")
+    shared = stage(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "line-shared")
+    cand = stage(spread.join(_few(shared, BROADCAST_KEYS), "bucket").select("bucket", F.col("band").cast("byte").alias("band"), "node"), "line-cand")
+    wanted = stage(cand.select("node").distinct().join(nodes.select("node", "h1", F.xxhash64("mark", "place").alias("at")), "node"), "line-wanted")
+    sample = F.array_distinct(F.transform(at_words(F.col("items"), o.shingle), lambda x: F.hash(x)))
+    texts = stage(_texts(docs, text_col, _few(wanted, BROADCAST_KEYS)).withColumn("sample", sample), "line-texts")
     about = stage(parity_words(texts.select("node", F.explode(shingles(F.col("items"), o.shingle)).alias("item")), PARITY), "line-about")
-    known = linked(cand, texts, o.threshold, about, parities=parity_names(PARITY), items=lambda line: shingles(line, o.shingle), rough=lambda line: at_words(line, o.shingle))
+    known = linked(cand, texts, o.threshold, about, parities=parity_names(PARITY), items=lambda line: shingles(line, o.shingle), sample="sample")
     place = F.struct("no_id", "id", "mark", "place")
     best = nodes.select("node", "id", "mark", "place")
     gone = None
@@ -130,7 +144,7 @@ def kept_places(docs: DataFrame, options: Options = Options(), id_col: str = "do
         best = best.join(F.broadcast(gone) if gone.count() <= BROADCAST_LINES else gone, "node", "left_anti")
         unstage(members)
     out = stage(best.groupBy("id", "mark").agg(F.sort_array(F.collect_list("place")).alias("kept")), "line-kept")
-    for x in (cand, wanted, texts, about, known, gone, nodes):
+    for x in (shared, cand, wanted, texts, about, known, gone, nodes):
         unstage(x)
     return out
 
@@ -138,7 +152,7 @@ def kept_places(docs: DataFrame, options: Options = Options(), id_col: str = "do
 def line_decisions(docs: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, n_lines, dropped (the places of lines that another line stands for, counted from 0)."""
     text = text_or_empty(text_col)
-    full = F.transform(F.split(text, "\n"), lambda line, i: F.when(~line.rlike(r"\A[\x20\x09-\x0D]*\z"), i))
+    full = F.transform(F.split(text, "\n"), lambda line, i: F.when(~_blank(line), i))
     slim = stage(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.size(F.split(text, "\n")).alias("n_lines"), F.filter(full, lambda i: i.isNotNull()).alias("filled")), "line-slim")
     kept = kept_places(docs, options, id_col, text_col).select(F.col("id").alias("kid"), F.col("mark").alias("kmark"), "kept")
     both = slim.join(kept, (slim["mark"] == kept["kmark"]) & slim["id"].eqNullSafe(kept["kid"]), "left")

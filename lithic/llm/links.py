@@ -34,6 +34,9 @@ FIRST_BANDS, MORE_PIVOTS = 4, 16
 MEMBER, FRESH_PIVOT, OLD_PIVOT = 0, 1, 2
 
 
+#: Pairs are broadcast up to this many (some 60 bytes each).
+BROADCAST_PAIRS = 500_000
+
 #: Bits kept of each register, in as many planes: registers that differ show it with a chance of 15 in 16.
 PLANES = 4
 
@@ -72,35 +75,79 @@ def parity_names(words: int) -> list[str]:
     return [f"p{i}" for i in range(words)]
 
 
-def _parities_allow(names: list[str], threshold: float) -> Column:
-    """False only for sets below the threshold: those at it differ in (1 - t) / (1 + t) of the sum of their sizes at most."""
+def _parity_bits(names: list[str]) -> Column:
     bits = F.lit(0)
     for name in names:
         bits = bits + F.bit_count(F.col(name).bitwiseXOR(F.col("other_" + name)))
-    return bits * (1 + threshold) <= (1 - threshold) * (F.col("size") + F.col("other_size")) + 1e-6
+    return bits
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float, items: Callable[[Column], Column] | None = None, rough: Callable[[Column], Column] | None = None) -> DataFrame:
-    """The pairs whose sets' exact Jaccard similarity reaches the threshold, as links between their components.
+def _parities_allow(names: list[str], threshold: float) -> Column:
+    """False only for sets below the threshold: those at it differ in (1 - t) / (1 + t) of the sum of their sizes at most."""
+    return _parity_bits(names) * (1 + threshold) <= (1 - threshold) * (F.col("size") + F.col("other_size")) + 1e-6
 
-    rough makes a sample of a set: pairs whose samples' similarity is 4.2 standard deviations below it aren't looked at further.
-    """
-    a = sets.select(F.col("node").alias("u"), F.col("items").alias("a"))
-    b = sets.select(F.col("node").alias("v"), F.col("items").alias("b"))
+
+def _beside(pairs: DataFrame, sets: DataFrame, column: str, few: bool) -> DataFrame:
+    """pairs with that column of both nodes, as a and b. Few pairs are broadcast, so that the sets of no other nodes are shuffled."""
+    a = sets.select(F.col("node").alias("u"), F.col(column).alias("a"))
+    b = sets.select(F.col("node").alias("v"), F.col(column).alias("b"))
+    if few:
+        return F.broadcast(pairs).join(a, "u").join(F.broadcast(pairs.select("u", "v")).join(b, "v"), ["u", "v"])
+    return pairs.join(a, "u").join(b, "v")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float, items: Callable[[Column], Column] | None = None, few: bool = False) -> DataFrame:
+    """The pairs whose sets' exact Jaccard similarity reaches the threshold, as links between their components."""
     make = items or (lambda c: c)
 
     def alike(x: Column) -> Column:
         both = F.size(F.array_intersect(x["a"], x["b"]))
         return both >= threshold * (F.size(x["a"]) + F.size(x["b"]) - both) - 1e-9
 
-    def may_be(x: Column) -> Column:
-        both, any_ = F.size(F.array_intersect(x["a"], x["b"])), F.size(F.array_union(x["a"], x["b"]))
-        return both >= threshold * any_ - 4.2 * F.sqrt(threshold * (1 - threshold) * any_)
-
     # As fields of a variable the sets are made once.
-    of = lambda f, test: F.exists(F.array(F.struct(f(F.col("a")).alias("a"), f(F.col("b")).alias("b"))), test)
-    met = of(make, alike) if rough is None else of(rough, may_be) & of(make, alike)
-    return pairs.join(a, "u").join(b, "v").where(met).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    met = F.exists(F.array(F.struct(make(F.col("a")).alias("a"), make(F.col("b")).alias("b"))), alike)
+    return _beside(pairs, sets, "items", few).where(met).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+
+
+def _samples_similar(pairs: DataFrame, sets: DataFrame, threshold: float, sample: str, few: bool) -> DataFrame:
+    """The pairs but for those whose samples' similarity is 4.2 standard deviations below the threshold."""
+    def allow(x: Column) -> Column:
+        any_ = x["n"] - x["both"]
+        return x["both"] >= threshold * any_ - 4.2 * F.sqrt(threshold * (1 - threshold) * any_)
+
+    counts = F.struct(F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("n"))
+    return _beside(pairs, sets, sample, few).where(F.exists(F.array(counts), allow)).select("u", "v", "cu", "cv")
+
+
+def _staged(pairs: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    out = stage(pairs, name)
+    return out, out.count() <= BROADCAST_PAIRS
+
+
+def _linked_once(pairs: DataFrame, sets: DataFrame, threshold: float, items: Callable[[Column], Column] | None, sample: str) -> DataFrame:
+    """The links (staged) that pairs (u, v, cu, cv, score) hold: of two components the pair of the least score is tested first, the others where it is no link."""
+    def tested(some: DataFrame) -> DataFrame:
+        met, few = _staged(some, "link-some")
+        near, few_near = _staged(_samples_similar(met, sets, threshold, sample, few), "link-near")
+        out = stage(_similar(near, sets, threshold, items, few_near).distinct(), "link-found")
+        unstage(met)
+        unstage(near)
+        return out
+
+    met = stage(pairs, "link-met")
+    first = met.groupBy("cu", "cv").agg(F.min(F.struct("score", "u", "v")).alias("p"), F.count("*").alias("n"))
+    first = stage(first.select("p.u", "p.v", "cu", "cv", "n"), "link-first")
+    found = tested(first.drop("n"))
+    if first.where("n > 1").isEmpty():
+        unstage(met)
+        unstage(first)
+        return found
+    open_ = first.where("n > 1").join(found.select(F.col("u").alias("cu"), F.col("v").alias("cv")), ["cu", "cv"], "left_anti").select("cu", "cv", F.col("u").alias("fu"), F.col("v").alias("fv"))
+    rest = tested(met.drop("score").join(open_, ["cu", "cv"]).where("u <> fu OR v <> fv").select("u", "v", "cu", "cv"))
+    out = stage(found.unionByName(rest), "link-found")
+    for x in (met, first, found, rest):
+        unstage(x)
+    return out
 
 
 def _merged(known: DataFrame | None, merges: DataFrame) -> DataFrame:
@@ -142,11 +189,11 @@ def _chosen(pivots: int) -> Column:
 
 
 def linked(cand: DataFrame, sets: DataFrame, threshold: float, about: DataFrame | None = None, sketch: list[str] | None = None, registers: int = 0, split_over: int | None = None,
-           items: Callable[[Column], Column] | None = None, rough: Callable[[Column], Column] | None = None, digests: list[str] | None = None, parities: list[str] | None = None) -> DataFrame | None:
+           items: Callable[[Column], Column] | None = None, sample: str | None = None, digests: list[str] | None = None, parities: list[str] | None = None) -> DataFrame | None:
     """(node, component) of the nodes of cand (bucket, band, node) that chains of similar nodes in common buckets connect.
 
     sets has (node, items): arrays without repeats, or what `items` makes them of; about has (node, size, sketch..., digests...,
-    parities...) of each node. None if nothing is linked.
+    parities...) of each node, sample is a column of sets, of samples that are tested before items. None if nothing is linked.
     """
     sketch, digests, parities = sketch or [], digests or [], parities or []
     known, pivots, before, few = None, 1, 0, True
@@ -190,11 +237,12 @@ def linked(cand: DataFrame, sets: DataFrame, threshold: float, about: DataFrame
                 near = near & _parities_allow(parities, threshold)
             if extra:
                 near = near & _first_shared(extra)
+            score = [(_parity_bits(parities) / (F.col("size") + F.col("other_size") + 1)).alias("score")] if sample else []
             first = F.col("node") < F.col("other")
             meeting = of(still.where((F.col("part") != OLD_PIVOT) & F.col("meets")))
             pairs = meeting.join(chosen, ["bucket", "outside"]).where((F.col("c") != F.col("other_c")) & ((F.col("part") == MEMBER) | first) & near).select(
-                F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), F.when(first, F.col("c")).otherwise(F.col("other_c")).alias("cu"), F.when(first, F.col("other_c")).otherwise(F.col("c")).alias("cv")).distinct()
-            found = stage(_similar(pairs, sets, threshold, items, rough).distinct(), "link-found")
+                F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), F.when(first, F.col("c")).otherwise(F.col("other_c")).alias("cu"), F.when(first, F.col("other_c")).otherwise(F.col("c")).alias("cv"), *score).distinct()
+            found = _linked_once(pairs, sets, threshold, items, sample) if sample else stage(_similar(pairs, sets, threshold, items).distinct(), "link-found")
             if not found.isEmpty():
                 old_known, known = known, _merged(known, components(found))
                 unstage(old_known)

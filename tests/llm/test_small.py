@@ -297,6 +297,50 @@ def test_lines_unlike_pairs_are_dropped_before_their_texts_are_read(spark, monke
     assert 1 <= max(seen) <= 20  # without parities up to 1,255 in a round
 
 
+def test_lines_of_two_components_one_pair_is_read(spark, monkeypatch):
+    """Two groups, each linked by a bucket of its own, meet in a third, where every pair is a link: one is enough."""
+    seen, old = [], links._similar
+
+    def looked(pairs, *a, **k):
+        seen.append(pairs.count())
+        return old(pairs, *a, **k)
+
+    monkeypatch.setattr(links, "_similar", looked)
+    n = 20
+    sets = spark.createDataFrame([(i, list(range(100)) + [1000 + i], list(range(100))) for i in range(2 * n)], "node long, items array<long>, sample array<long>")
+    cand = spark.createDataFrame([(i // n, 0, i) for i in range(2 * n)] + [(2, links.FIRST_BANDS, i) for i in range(2 * n)], "bucket long, band byte, node long")
+    about = links.parity_words(sets.select("node", F.explode("items").alias("item")), 8)
+    got = links.linked(cand, sets, 0.8, about, parities=links.parity_names(8), sample="sample").collect()
+    assert len(got) == 2 * n and {r.component for r in got} == {0}
+    assert sum(seen) == 2 * (n - 1) + 1  # n more pairs where all of them were read
+
+
+def test_lines_keys(spark):
+    """The keys by loops: of each three leading bits the least hash from there on and those that follow, by one more or two."""
+    lines = [prose(n, 900 + n) for n in range(1, 60)] + ["alike " * n + prose(20, n) for n in range(9, 13)] + ["-" * 30, "short", "é" * 40]
+    o = line_dedup.Options()
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    at = F.expr("transform(line, x -> xxhash64(x))")
+    hashes = {}
+    for word in (True, False):
+        runs = [sorted({(" " + x)[i + 1:i + 9] for i in range(len(x)) if (" " + x)[i] == " " and len((" " + x)[i + 1:i + 9]) == 8 and ("a" <= x[i] <= "m" or x[i] >= "\u0080")} if word else {x[i:i + 8] for i in range(max(1, len(x) - 7))}) for x in lines]
+        got = spark.createDataFrame(list(zip(lines, runs)), "x string, line array<string>").select("x", at.alias("h")).collect()
+        hashes[word] = {r.x: sorted(set(r.h)) for r in got}
+    want = []
+    for x in lines:
+        for h, kind, used in ((hashes[True][x], 3, len(hashes[True][x]) >= o.enough_words), (hashes[False][x], 1, len(hashes[True][x]) < o.border)):
+            if used and len(h) == 1:
+                want.append((x, 0, h))
+                continue
+            starts = sorted({sum(v < (n << 61) - (1 << 63) for v in h) for n in range(8)} - {len(h)})
+            for rows, fits in ((2, len(h) < o.few_border), (3, len(h) >= o.few)):
+                want += [(x, kind + rows - 2, [h[(i + j) % len(h)] for j in range(rows)]) for i in starts if used and fits]
+    key = F.when(F.size("h") == 1, F.xxhash64("kind", F.get("h", F.lit(0)))).when(F.size("h") == 2, F.xxhash64("kind", F.get("h", F.lit(0)), F.get("h", F.lit(1)))).otherwise(F.xxhash64("kind", F.get("h", F.lit(0)), F.get("h", F.lit(1)), F.get("h", F.lit(2))))
+    want = Counter((r.x, r.key) for r in spark.createDataFrame(want, "x string, kind int, h array<long>").select("x", key.alias("key")).collect())
+    got = Counter((r.line, k) for r in line_dedup._with_bands(df, o).collect() for k in r.bands)
+    assert got == want
+
+
 @pytest.mark.parametrize("bands", [1, 2])
 def test_near_large_buckets_lose_nothing(spark, bands):
     """Copies that share one bucket alone, and that bucket is larger than is compared at once: they are found all the same."""
