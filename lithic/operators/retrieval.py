@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -95,6 +96,21 @@ def impact(seeds: DataFrame, edges: DataFrame, most_depth: int = 12) -> DataFram
     return reached.where("depth > 0")
 
 
+def paths(starts: DataFrame, edges: DataFrame, most_steps: int) -> DataFrame:
+    """(start, path, steps): every walk along (src, dst) from each start (id), its nodes joined by >, up to so many steps.
+
+    One join per step: a recursive query would stop at Spark's limit of rows. The exchanges of a step are the same in all later
+    ones and are reused; cycles end with the steps.
+    """
+    hops = edges.select(F.col("src").alias("at"), "dst")
+    walks = starts.select(F.col("id").alias("start"), F.col("id").alias("at"), F.col("id").alias("path"))
+    rounds = []
+    for _ in range(most_steps):
+        walks = walks.join(hops, "at").select("start", F.col("dst").alias("at"), F.concat("path", F.lit(">"), "dst").alias("path"))
+        rounds.append(walks.select("start", "path", F.lit(len(rounds) + 1).alias("steps")))
+    return reduce(DataFrame.unionByName, rounds)
+
+
 def _shared(spark: SparkSession) -> str:
     """The folder that driver and executors share; in local mode, where none is named, one of our own."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()

@@ -58,10 +58,8 @@ w AS (SELECT 'o' || o_orderkey AS "start", 'o' || o_orderkey AS at_node, 'o' ||
   UNION ALL SELECT w.start, e.dst, w.path || '>' || e.dst, w.steps + 1 FROM w JOIN edges e ON e.src = w.at_node WHERE e.predicate <> '{CONTAINS}' AND w.steps < 4)
 SELECT w.start, w.path, CAST(w.steps AS INT) AS steps FROM w WHERE w.steps > 0""")
 def graph_paths(spark, d):
-    edges(spark, d).where(F.col("predicate") != CONTAINS).createOrReplaceTempView("lithic_hops")
-    read(spark, d, "orders").select(key("o", "o_orderkey").alias("id")).createOrReplaceTempView("lithic_starts")
-    return spark.sql("""WITH RECURSIVE w(start, at, path, steps) AS (SELECT id, id, id, 0 FROM lithic_starts
-      UNION ALL SELECT start, dst, concat(path, '>', dst), steps + 1 FROM w JOIN lithic_hops ON src = at WHERE steps < 4) SELECT start, path, steps FROM w WHERE steps > 0""")
+    starts = read(spark, d, "orders").select(key("o", "o_orderkey").alias("id"))
+    return retrieval.paths(starts, edges(spark, d).where(F.col("predicate") != CONTAINS), 4)
 
 
 @query("edges_live", f"WITH {EDGES_SQL}, ent AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 'r' || r_regionkey FROM region) SELECT src, predicate, dst FROM edges WHERE dst IN (SELECT id FROM ent)")

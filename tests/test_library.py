@@ -65,6 +65,17 @@ def test_impact_survives_cycles(spark):
     assert {(r.id, r.depth) for r in got} == {("b", 1), ("c", 2)}
 
 
+def test_paths_have_no_limit_of_rows(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
+    got = retrieval.paths(spark.createDataFrame([("a",), ("x",)], "id string"), e, 3)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "a>b", 1), ("a", "a>b>a", 2), ("a", "a>b>a>b", 3), ("a", "a>b>c", 2)]
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 2000)
+    try:
+        assert q_graph.graph_paths(spark, "/root/testdata/sf0.001").count() == 3 * spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count() > 2000
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
 def test_body_budget_is_greedy(spark):
     rows = spark.createDataFrame([(1, 60), (2, 60), (3, 30)], "n long, size long")
     assert [r.n for r in versions.within_budget(rows, ["n"], "size", 100).collect()] == [1, 3]
