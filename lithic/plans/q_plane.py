@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lithic.functions import ids, text
-from lithic.operators import triples
+from lithic.operators import retrieval, triples
 from lithic.plans.catalog import query, read
 from lithic.plans.q_identity import s_instance
 from lithic.sources import code, config, plane
@@ -120,15 +120,15 @@ UNION ALL SELECT id, 'source.config.requires', {s_dep("'org.parts:' || dep", 've
 UNION ALL SELECT id, 'source.config.contains', mid FROM mi
 UNION ALL SELECT mid, unnest(['dc.terms.title', 'source.config.module-path', 'source.config.file-path']), unnest([name, name, folder || 'pom.xml']) FROM mi)""")
 def config_maven_triples(spark, d):
-    files, keys = pom_files(spark, d), {"org": F.lit(ORG), "system": F.lit(SYSTEM)}
-    deps = config.pom(files).withColumns(keys).withColumn("name", F.concat_ws(":", "group_id", "artifact_id"))
-    need = triples.dependency_id(F.col("org"), F.col("system"), F.col("name"), F.col("version"))
-    asked = deps.groupBy("file").agg(F.collect_list(need).alias("needs"))
-    own = config.pom_project(files).withColumns(keys).join(asked, "file", "left")
-    project = own.select("org", "system", "file", F.concat_ws(":", "group_id", "artifact_id").alias("name"), F.array("group_id", "artifact_id", "version", "packaging").alias("values"), "needs",
+    # Parsed once: all branches read the rows that were written. Subjects of projects, modules and dependencies are of different kinds, and each branch is distinct.
+    own = retrieval._checkpointed(config.poms(pom_files(spark, d))).withColumns({"org": F.lit(ORG), "system": F.lit(SYSTEM)})
+    name = lambda x: F.concat_ws(":", x["group_id"], x["artifact_id"])
+    needs = F.transform("dependencies", lambda x: triples.dependency_id(F.col("org"), F.col("system"), name(x), x["version"]))
+    project = own.select("org", "system", "file", F.concat_ws(":", "group_id", "artifact_id").alias("name"), F.array("group_id", "artifact_id", "version", "packaging").alias("values"), needs.alias("needs"),
                          F.transform("modules", lambda m: triples.module_id(F.col("org"), F.col("system"), m)).alias("parts"))
     modules = own.select("org", "system", "file", F.explode("modules").alias("name"))
-    return triples.project_triples(project, "project").unionByName(triples.module_triples(modules)).unionByName(triples.dependency_triples(deps.withColumn("dep_kind", F.lit("maven")))).distinct()
+    deps = own.select("org", "system", "file", F.explode("dependencies").alias("d")).select("org", "system", "file", name(F.col("d")).alias("name"), "d.version", "d.scope", F.lit("maven").alias("dep_kind"))
+    return triples.project_triples(project, "project").unionByName(triples.module_triples(modules)).unionByName(triples.dependency_triples(deps))
 
 
 def gradle_files(spark, d):

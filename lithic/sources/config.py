@@ -19,6 +19,11 @@ def _lines(files: DataFrame) -> DataFrame:
     return files.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line"))
 
 
+def _once(files: DataFrame, parsed: Column) -> DataFrame:
+    """(file, p): each text parsed once. A generator keeps the optimizer from copying the parser into every filter and field."""
+    return files.select("file", F.explode(F.array(parsed)).alias("p"))
+
+
 def go_mod(files: DataFrame) -> DataFrame:
     """(file, module, go, name, version, indirect): one row per requirement; a file without one has a row of nulls, one without a module none.
 
@@ -36,8 +41,8 @@ def go_mod(files: DataFrame) -> DataFrame:
 
 def package_json(files: DataFrame) -> DataFrame:
     """(file, package, package_version, name, version, dev): production and development dependencies together."""
-    j = files.select("file", F.from_json("text", "name string, version string, dependencies map<string,string>, devDependencies map<string,string>").alias("j"))
-    side = lambda c, dev: j.select("file", F.col("j.name").alias("package"), F.col("j.version").alias("package_version"), F.explode(f"j.{c}").alias("name", "version"), F.lit(dev).alias("dev"))
+    j = _once(files, F.from_json("text", "name string, version string, dependencies map<string,string>, devDependencies map<string,string>"))
+    side = lambda c, dev: j.select("file", F.col("p.name").alias("package"), F.col("p.version").alias("package_version"), F.explode(f"p.{c}").alias("name", "version"), F.lit(dev).alias("dev"))
     return side("dependencies", False).unionByName(side("devDependencies", True))
 
 
@@ -54,25 +59,28 @@ _POM_DEPENDENCY = "struct<groupId:string,artifactId:string,version:string,scope:
 _POM = f"groupId string, artifactId string, version string, packaging string, modules struct<module:array<string>>, dependencies struct<dependency:array<{_POM_DEPENDENCY}>>"
 
 
-def _poms(files: DataFrame) -> DataFrame:
-    return files.select("file", F.from_xml(F.col("text"), _POM, {"rowTag": "project"}).alias("p")).where("p IS NOT NULL")
+def poms(files: DataFrame) -> DataFrame:
+    """(file, group_id, artifact_id, version, packaging, modules, dependencies): a row per project, all that is read of it from one parse.
+
+    What it doesn't state is empty, packaging too. Dependencies are those that it declares itself, with an absent scope as compile:
+    what it only manages, or its plugins need, isn't a dependency of the project.
+    """
+    said = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    own = lambda c: said(F.col(f"p.{c}"))
+    scope = lambda d: F.when(said(d["scope"]) == "", "compile").otherwise(said(d["scope"])).alias("scope")
+    declared = F.transform("p.dependencies.dependency", lambda d: F.struct(said(d["groupId"]).alias("group_id"), said(d["artifactId"]).alias("artifact_id"), said(d["version"]).alias("version"), scope(d)))
+    return _once(files, F.from_xml(F.col("text"), _POM, {"rowTag": "project"})).where("p IS NOT NULL").select("file", own("groupId").alias("group_id"), own("artifactId").alias("artifact_id"), own("version").alias("version"),
+        own("packaging").alias("packaging"), F.coalesce("p.modules.module", F.expr("CAST(array() AS array<string>)")).alias("modules"), declared.alias("dependencies"))
 
 
 def pom_project(files: DataFrame) -> DataFrame:
     """(file, group_id, artifact_id, version, packaging, modules) of a project; what it doesn't state is empty, packaging too."""
-    said = lambda c: F.coalesce(F.trim(F.col(f"p.{c}")), F.lit(""))
-    return _poms(files).select("file", said("groupId").alias("group_id"), said("artifactId").alias("artifact_id"), said("version").alias("version"), said("packaging").alias("packaging"),
-                               F.coalesce("p.modules.module", F.expr("CAST(array() AS array<string>)")).alias("modules"))
+    return poms(files).drop("dependencies")
 
 
 def pom(files: DataFrame) -> DataFrame:
-    """(file, group_id, artifact_id, version, scope) of the dependencies that a project itself declares; an absent scope is compile.
-
-    What it only manages, or its plugins need, isn't a dependency of the project.
-    """
-    d = _poms(files).select("file", F.explode("p.dependencies.dependency").alias("d"))
-    said = lambda c: F.coalesce(F.trim(F.col(f"d.{c}")), F.lit(""))
-    return d.select("file", said("groupId").alias("group_id"), said("artifactId").alias("artifact_id"), said("version").alias("version"), F.when(said("scope") == "", "compile").otherwise(said("scope")).alias("scope"))
+    """(file, group_id, artifact_id, version, scope) of the dependencies that a project itself declares; an absent scope is compile."""
+    return poms(files).select("file", F.explode(F.col("dependencies")).alias("d")).select("file", "d.*")
 
 
 # The configurations whose dependencies are read, and the parts of a coordinate in quotes.

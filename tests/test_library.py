@@ -8,7 +8,8 @@ from lithic import vocab
 from lithic.engine import Engine, QueryError
 from lithic.functions import ids, text
 from lithic.operators import communities, retrieval, split, versions
-from lithic.plans import q_graph
+from lithic.plans import q_graph, q_plane
+from lithic.sources import config
 from lithic.streaming import changes
 
 PIECES = st.sampled_from(["# A\n", "## B\n", "Title\n===\n", "```\n", "~~~\n", "\n", "text. ", "more words here!\n", "é日本\n", "A_X=1\n", "B=2\n", "---\n", "= T\n", "x" * 700, "y. " * 900])
@@ -76,6 +77,15 @@ def test_paths_have_no_limit_of_rows(spark):
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
 
 
+def test_build_files_are_parsed_once(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    files = spark.createDataFrame([("f", "<project><artifactId>a</artifactId><dependencies><dependency><groupId> g </groupId><artifactId>x</artifactId></dependency></dependencies></project>"), ("g", "no xml"), ("h", None)], "file string, text string")
+    assert [plan(f(files)).count("from_xml") for f in (config.pom, config.pom_project)] == [1, 1] and plan(config.package_json(files)).count("from_json") == 2
+    assert plan(q_plane.config_maven_triples(spark, "/root/testdata/sf0.001")).count("from_xml") == 0
+    assert [tuple(r) for r in config.pom(files).where("file = 'f'").collect()] == [("f", "g", "x", "", "compile")]
+    assert [tuple(r)[1:5] for r in config.pom_project(files).where("file = 'f'").collect()] == [("", "a", "", "")]
+
+
 def test_body_budget_is_greedy(spark):
     rows = spark.createDataFrame([(1, 60), (2, 60), (3, 30)], "n long, size long")
     assert [r.n for r in versions.within_budget(rows, ["n"], "size", 100).collect()] == [1, 3]
