@@ -27,11 +27,12 @@ def nodes(triples: DataFrame, lens: str, bodies: DataFrame | None = None) -> Dat
     """(id, label, kind, path, first, last, fragment, key, body) of (subject, ord, predicate, object).
 
     Without a store and a key there is no handle; with bodies (key, body) the handle is followed. One aggregate over the
-    entity's triples, of which only those of the lens are read.
+    entity's triples, of which only those of the lens are read. It has to sort, so triples are dealt out first: a task then sorts
+    its share and not all that was made from one piece of the input.
     """
     label, kind, path, first, last, section, store, key = LENSES[lens]
     wanted = triples.where(F.col("predicate").isin(*[p for p in LENSES[lens] if p]))
-    got = wanted.groupBy(F.col("subject").alias("id")).agg(*[_first(p).alias(n) for p, n in ((label, "label"), (kind, "kind"), (path, "path"), (first, "first"), (last, "last"), (section, "section"), (store, "store"), (key, "k"))])
+    got = wanted.repartition("subject").groupBy(F.col("subject").alias("id")).agg(*[_first(p).alias(n) for p, n in ((label, "label"), (kind, "kind"), (path, "path"), (first, "first"), (last, "last"), (section, "section"), (store, "store"), (key, "k"))])
     out = got.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("label", "kind", "path")], F.coalesce(F.col("first").cast("int"), F.lit(0)).alias("first"), F.coalesce(F.col("last").cast("int"), F.lit(0)).alias("last"),
                      F.coalesce(text.section_anchor(F.col("section")), F.lit("")).alias("fragment"), F.when((F.coalesce("store", F.lit("")) != "") & (F.coalesce("k", F.lit("")) != ""), F.col("k")).alias("key"))
     return out if bodies is None else out.join(bodies.select("key", "body"), "key", "left").select("id", "label", "kind", "path", "first", "last", "fragment", "key", "body")

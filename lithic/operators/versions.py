@@ -18,7 +18,7 @@ def candidates(triples: DataFrame) -> DataFrame:
     From (subject, ord, predicate, object); of several values the first counts, and a body key goes before a file hash.
     """
     first = lambda p: F.min(F.when(F.col("predicate") == p, F.struct("ord", "object")))["object"]
-    out = triples.groupBy(F.col("subject").alias("id")).agg(
+    out = triples.repartition("subject").groupBy(F.col("subject").alias("id")).agg(  # it sorts: dealt out first, as in answers.nodes
         first("code.artifact.project").alias("project"), first("code.artifact.version").alias("version"), first("code.artifact.path").alias("path"), first("dc.terms.title").alias("name"),
         first("code.artifact.type").alias("ctype"), first("code.artifact.package").alias("pkg"), first("code.body.key").alias("k"), first("code.artifact.hash").alias("h")).where("version <> ''")
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))

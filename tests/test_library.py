@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lithic import vocab
 from lithic.engine import Engine, QueryError
 from lithic.functions import ids, text
-from lithic.operators import communities, retrieval, split, versions
+from lithic.operators import answers, communities, retrieval, split, versions
 from lithic.plans import q_graph, q_plane
 from lithic.sources import config
 from lithic.streaming import changes
@@ -86,6 +86,14 @@ def test_build_files_are_parsed_once(spark):
     assert [tuple(r)[1:5] for r in config.pom_project(files).where("file = 'f'").collect()] == [("", "a", "", "")]
 
 
+def test_triples_are_dealt_out_before_they_are_sorted(spark):
+    t = spark.createDataFrame([("a", 1, "dc.terms.title", "second"), ("a", 0, "dc.terms.title", "first"), ("a", 2, "code.metric.start-line", "7"), ("b", 0, "dc.terms.title", "b")], "subject string, ord int, predicate string, object string")
+    for df in (answers.nodes(t, "code"), versions.candidates(t)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Sort [") == 1 and plan.index("Sort [") < plan.index("Exchange")
+    assert {(r.id, r.label, r.first) for r in answers.nodes(t, "code").collect()} == {("a", "first", 7), ("b", "b", 0)}
+
+
 def test_body_budget_is_greedy(spark):
     rows = spark.createDataFrame([(1, 60), (2, 60), (3, 30)], "n long, size long")
     assert [r.n for r in versions.within_budget(rows, ["n"], "size", 100).collect()] == [1, 3]
