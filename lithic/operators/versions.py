@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lithic.functions import text
+from lithic.operators.retrieval import _checkpointed
 
 #: What makes two versioned entities the same thing.
 KEY = ["org", "project", "path", "name", "ctype", "pkg"]
@@ -65,7 +66,8 @@ def pass_stats(cands: DataFrame) -> DataFrame:
 
 def diff(cands: DataFrame, project: str, old: str, new: str) -> DataFrame:
     """(KEY, status, old_id, new_id): the newest entity of each side; unchanged ones included."""
-    side = lambda v, p: cands.where((F.col("project") == project) & (F.col("version") == v)).groupBy(*KEY).agg(F.max(F.struct("indexed_at", "id", "body_hash", "body_hash_kind")).alias(p))
+    # The aggregate sorts: rows are dealt out first, as in answers.nodes.
+    side = lambda v, p: cands.where((F.col("project") == project) & (F.col("version") == v)).repartition(*KEY).groupBy(*KEY).agg(F.max(F.struct("indexed_at", "id", "body_hash", "body_hash_kind")).alias(p))
     both = side(old, "o").join(side(new, "n"), KEY, "full_outer")
     change = _change(F.col("o.body_hash"), F.col("o.body_hash_kind"), F.col("n.body_hash"), F.col("n.body_hash_kind"))
     status = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise(F.coalesce(change, F.lit("indeterminate")))
@@ -78,7 +80,10 @@ def changeset(changes: DataFrame, most: int = 2000) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, order: list[str], size: str, most: int) -> DataFrame:
-    """The rows of a list of bounded length (a changeset) whose bodies fit a byte budget, greedily: one too large is passed over."""
+    """The rows of a list of bounded length (a changeset) whose bodies fit a byte budget, greedily: one too large is passed over.
+
+    Only the list itself goes to one task; what it is made from stays in as many as it has.
+    """
     from collections.abc import Iterator
 
     import pandas as pd
@@ -91,7 +96,7 @@ def within_budget(rows: DataFrame, order: list[str], size: str, most: int) -> Da
             left -= n if n <= left else 0
         yield whole[keep]
 
-    return rows.coalesce(1).sortWithinPartitions(*order).mapInPandas(run, rows.schema)
+    return rows.repartition(1).sortWithinPartitions(*order).mapInPandas(run, rows.schema)
 
 
 # ---- staleness ------------------------------------------------------------------------------------------------------
@@ -133,9 +138,10 @@ def diff_counters(changes: DataFrame, sizes: DataFrame, most: int = 2000, most_b
     sizes (key of changes, size): the bytes of a change's body, null where it couldn't be read. Bodies that don't fit the
     budget are passed over, smaller ones after them still count.
     """
-    shown = changeset(changes, most)
+    shown = _checkpointed(changeset(changes, most))  # a list of bounded length, made once
     total = changes.where("status <> 'unchanged'").count()
-    rows = shown.join(sizes, KEY, "left")
+    own = sizes.join(F.broadcast(shown.select(*KEY).distinct()), KEY, "left_semi")
+    rows = _checkpointed(shown.join(own, KEY, "left"))
     fit = within_budget(rows.where("size IS NOT NULL"), ["path", "pkg", "name", "status", "ctype"], "size", most_bytes)
     n, readable, kept = shown.count(), rows.where("size IS NOT NULL").count(), fit.count()
     return changes.sparkSession.createDataFrame([(n, total - n, kept, readable - kept, n - readable)], "listed long, dropped long, bodies long, omitted long, failed long")

@@ -99,6 +99,20 @@ def test_body_budget_is_greedy(spark):
     assert [r.n for r in versions.within_budget(rows, ["n"], "size", 100).collect()] == [1, 3]
 
 
+def test_a_budget_leaves_its_input_in_many_tasks(spark):
+    ran = spark.range(0, 40, 1, 8).withColumn("size", F.lit(1)).repartition(4, "id").withColumn("task", F.spark_partition_id())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert len({r.task for r in versions.within_budget(ran, ["id"], "size", 100).collect()}) == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    side = lambda v, size: [("o", "p", f"f{i}", "n", "c", "k", v, size, "hash", i, f"{v}{i}") for i in range(5)]
+    cands = spark.createDataFrame(side("1", "x") + side("2", "y"), "org string, project string, path string, name string, ctype string, pkg string, version string, body_hash string, body_hash_kind string, indexed_at int, id string")
+    ch = versions.diff(cands, "p", "1", "2")
+    sizes = ch.select(*versions.KEY, F.when(F.col("path") != "f1", F.substring("path", 2, 1).cast("int") * 10).alias("size"))
+    assert tuple(versions.diff_counters(ch, sizes, 4, 25).first()) == (4, 1, 2, 1, 1)
+
+
 def test_engine(spark):
     ent = spark.createDataFrame([("a.golang.f", "golang", "Run", "function"), ("a.golang.g", "golang", "run", "function")], "id string, domain string, name string, kind string")
     e = Engine(spark, ent, spark.createDataFrame([("a.golang.g", vocab.IMPACT[0], "a.golang.f"), ("a.golang.g", vocab.IMPACT[0], "gone")], "src string, predicate string, dst string"),
