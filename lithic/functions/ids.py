@@ -68,10 +68,18 @@ def versioned_system(project: Column, version: Column) -> Column:
     return scoped_slug(system_slug(project), system_slug(version))
 
 
+# What decides an instance: after the leading junk, as many letters, digits, underscores and whole runs of all else as fit, and the
+# next letter or digit if there is one, however far. Possessive: nothing is tried twice.
+_DECIDES = f"^[^A-Za-z0-9]*+((?:[A-Za-z0-9_]|[^A-Za-z0-9_]++){{0,{MAX_INSTANCE}}}+(?:[^A-Za-z0-9]*+[A-Za-z0-9])?)"
+
+
 def sanitize_instance(s: Column) -> Column:
-    """At most 60 characters, dashes collapsed, case kept; what has none left is its hash."""
+    """At most 60 characters, dashes collapsed, case kept; what has none left is its hash.
+
+    Of a long text only what decides is rewritten; its hash is of all of it.
+    """
     kept = lambda out: F.regexp_replace(F.substring(out, 1, MAX_INSTANCE - 9), _TAIL, "")
-    return let(_collapsed(s), lambda out: F.when(out == "", short_hash(s)).when(F.length(out) > MAX_INSTANCE, F.concat(kept(out), F.lit("-"), short_hash(s))).otherwise(out))
+    return let(_collapsed(F.regexp_extract(s, _DECIDES, 1)), lambda out: F.when(out == "", short_hash(s)).when(F.length(out) > MAX_INSTANCE, F.concat(kept(out), F.lit("-"), short_hash(s))).otherwise(out))
 
 
 def sanitize_segment(s: Column) -> Column:

@@ -86,6 +86,26 @@ def test_build_files_are_parsed_once(spark):
     assert [tuple(r)[1:5] for r in config.pom_project(files).where("file = 'f'").collect()] == [("", "a", "", "")]
 
 
+def test_instances_of_long_texts(spark):
+    """Equal to the rule by the whole text, whose passes over it are not in the plan any more."""
+    import hashlib
+    import random
+    import re
+
+    def whole(t: str) -> str:
+        out = re.sub("^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "", re.sub("-{2,}", "-", re.sub("[^A-Za-z0-9_-]", "-", t)))
+        h = hashlib.sha256(t.encode()).hexdigest()[:8]
+        return h if out == "" else re.sub("[^A-Za-z0-9]+$", "", out[:51]) + "-" + h if len(out) > 60 else out
+
+    r = random.Random(5)
+    cases = ["", "___", "-_-", "\n" * 9, "é" * 70, "a" * 60, "a" * 61, "a" * 60 + "_" * 9, "a" * 60 + "-_" * 999 + "b", "_" * 999 + "a b", "a" + " " * 99_999 + "b", "a" * 50 + "_" * 20, "a" * 50 + "_" * 20 + "z", "ab😀" * 40]
+    cases += ["".join(r.choice("aB3__--  é\n") for _ in range(r.randrange(50, 90))) + r.choice(["", "_" * 30, " \n", "-x"]) for _ in range(400)]
+    df = spark.createDataFrame([(c,) for c in cases], "t string").select("t", ids.sanitize_instance(F.col("t")).alias("got"))
+    assert [x.got for x in df.collect()] == [whole(c) for c in cases]
+    assert "regexp_replace(t#" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert spark.range(1).select(ids.sanitize_instance(F.lit(None).cast("string")).alias("x")).first().x is None
+
+
 def test_triples_are_dealt_out_before_they_are_sorted(spark):
     t = spark.createDataFrame([("a", 1, "dc.terms.title", "second"), ("a", 0, "dc.terms.title", "first"), ("a", 2, "code.metric.start-line", "7"), ("b", 0, "dc.terms.title", "b")], "subject string, ord int, predicate string, object string")
     for df in (answers.nodes(t, "code"), versions.candidates(t)):
