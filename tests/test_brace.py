@@ -45,3 +45,12 @@ def test_cpp_scopes():
 def test_any_text_is_parsed(text, language):
     rows = brace.parse("f", text, language)
     assert rows[0]["kind"] == "file" and all(1 <= r["start"] <= r["end"] <= text.count("\n") + 1 for r in rows)
+
+
+def test_symbols_of_a_long_file_come_in_batches(monkeypatch):
+    text = "class A {\n" + "".join(f"  /** D{i} */\n  int f{i}(int a) {{ return g{i}(a); }}\n" for i in range(300)) + "}\nclass B {\n}\n"
+    whole = brace.parse("d/A.java", text, "java")
+    assert len(whole) == 303 and [r["name"] for r in whole[:3]] == ["A.java", "A", "f0"] and whole[1]["end"] == 602 and whole[2]["doc"] == "D0"
+    monkeypatch.setattr(brace, "MOST_ROWS", 7)
+    batches = list(brace.parsed("d/A.java", text, "java"))
+    assert max(b.num_rows for b in batches) <= 7 and [r for b in batches for r in b.to_pylist()] == whole
